@@ -1,0 +1 @@
+"""Intentionally empty: every table of this domain is a daily batch (see README, "Scope")."""
