@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barloom.contracts import Q4_LAG_DAYS, QUARTER_LAG_DAYS
+from barloom.functions.numbers import bind
 
 ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
 SHORT = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
@@ -41,17 +42,15 @@ def _civil(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(text: Column, order: Column) -> Column:
     """Date under the file's detected order; ISO texts are read as such under any order."""
-    text = F.trim(text)
-    one, two, year = (_group(text, SHORT, i) for i in (1, 2, 3))
-    iso_date = _civil(_group(text, ISO, 1), _group(text, ISO, 2), _group(text, ISO, 3))
-    month_first = _civil(year, one, two)
-    day_first = _civil(year, two, one)
-    return (
-        F.when(text.rlike(ISO), iso_date)
-        .when(~text.rlike(SHORT), F.lit(None).cast("date"))
-        .when(order == "dayfirst", day_first)
-        .otherwise(month_first)
-    )
+
+    def read(t: Column) -> Column:
+        one, two, year = (_group(t, SHORT, i) for i in (1, 2, 3))
+        day_first = order == "dayfirst"
+        month, day = F.when(day_first, two).otherwise(one), F.when(day_first, one).otherwise(two)
+        iso = _civil(*(_group(t, ISO, i) for i in (1, 2, 3)))
+        return F.when(t.rlike(ISO), iso).when(t.rlike(SHORT), _civil(year, month, day))
+
+    return bind(F.trim(text), read)
 
 
 PERIOD_Q_FIRST = r"Q([1-4])\s*[/\-_ ]?\s*(\d{4})"
@@ -60,11 +59,16 @@ PERIOD_YEAR_FIRST = r"(\d{4})\s*[/\-_ ]?\s*Q([1-4])"
 
 def parse_period(text: Column) -> Column:
     """'Q1 2024', '2024-Q1', ... as struct(year, quarter); null when the text is no period."""
-    label = F.upper(F.regexp_replace(F.trim(text), r"\s+", " "))
-    q_first = label.rlike(PERIOD_Q_FIRST)
-    year = F.when(q_first, _group(label, PERIOD_Q_FIRST, 2)).otherwise(_group(label, PERIOD_YEAR_FIRST, 1))
-    quarter = F.when(q_first, _group(label, PERIOD_Q_FIRST, 1)).otherwise(_group(label, PERIOD_YEAR_FIRST, 2))
-    return F.when(year.isNotNull(), F.struct(year.alias("year"), quarter.alias("quarter")))
+
+    def read(label: Column) -> Column:
+        q_first = label.rlike(PERIOD_Q_FIRST)
+        year = F.when(q_first, _group(label, PERIOD_Q_FIRST, 2)).otherwise(_group(label, PERIOD_YEAR_FIRST, 1))
+        quarter = F.when(q_first, _group(label, PERIOD_Q_FIRST, 1)).otherwise(_group(label, PERIOD_YEAR_FIRST, 2))
+        return F.when(
+            q_first | label.rlike(PERIOD_YEAR_FIRST), F.struct(year.alias("year"), quarter.alias("quarter"))
+        )
+
+    return bind(F.upper(F.regexp_replace(F.trim(text), r"\s+", " ")), read)
 
 
 def quarter_end(year: Column, quarter: Column) -> Column:

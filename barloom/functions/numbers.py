@@ -5,31 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: texts that mean "no value"
-NULL_WORDS = ["", "-", "--", "nan", "NaN", "None"]
-MARKET_NULL_WORDS = [*NULL_WORDS, "null"]
 MINUS_SIGNS = r"[\u2212\u2013\u2014]"
-
+BRACKETED = r"^\((.*)\)$"
 PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
 
 
 def to_double(text: Column) -> Column:
-    """Plain decimal text to double; anything else, including NaN and Infinity words, is null."""
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    """Plain decimal text to double; anything else, including words such as nan, - and null, is null."""
+    return F.regexp_extract(text, PLAIN_NUMBER, 0).try_cast("double")
 
 
 def finite(value: Column) -> Column:
     """NaN and infinities to null. Spark orders NaN above every number, so none may enter a frame."""
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def suffix_scale(text: Column) -> Column:
-    last = F.upper(F.substring(text, -1, 1))
-    return F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9)
+    scales = F.create_map(F.lit("K"), F.lit(1e3), F.lit("M"), F.lit(1e6), F.lit("B"), F.lit(1e9))
+    return F.try_element_at(scales, F.upper(F.substring(text, -1, 1)))
 
 
 def decimal_point(text: Column) -> Column:
@@ -49,40 +51,36 @@ def decimal_point(text: Column) -> Column:
 
 
 def _market(raw: Column) -> Column:
-    text = _strip(raw)
-    known = ~text.isin(MARKET_NULL_WORDS)
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \u00a0]", ""), MINUS_SIGNS, "-")
-    bracketed = F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))
-    text = F.when(bracketed, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
-    dashed = F.startswith(text, F.lit("-"))
-    text = F.regexp_replace(text, "^-", "")
-    percent = F.contains(text, F.lit("%"))
-    text = F.translate(text, "%", "")
-    scale = F.coalesce(suffix_scale(text), F.lit(1.0))
-    value = to_double(decimal_point(F.regexp_replace(text, r"[^0-9,.]", ""))) * scale
-    value = F.when(percent, value / 100).otherwise(value)
-    return F.when(known, F.when(bracketed | dashed, -value).otherwise(value))
+    text = F.regexp_replace(F.regexp_replace(raw, r"[\s\u00a0]", ""), MINUS_SIGNS, "-")
+
+    def signed(t: Column) -> Column:
+        core = F.translate(F.regexp_replace(F.regexp_replace(t, BRACKETED, "$1"), "^-", ""), "%", "")
+        value = bind(core, unsigned) / F.when(F.contains(t, F.lit("%")), 100.0).otherwise(1.0)
+        return F.when(t.rlike(r"^-|^\(.*\)$"), -value).otherwise(value)
+
+    def unsigned(t: Column) -> Column:
+        digits = F.regexp_replace(t, r"[^0-9,.]", "")
+        return to_double(bind(digits, decimal_point)) * F.coalesce(suffix_scale(t), F.lit(1.0))
+
+    return bind(text, signed)
 
 
 def _loader(raw: Column) -> Column:
-    text = _strip(raw)
-    known = ~text.isin(NULL_WORDS)
-    text = F.translate(text, " ,", "")
-    scale = suffix_scale(text)
-    text = F.when(scale.isNotNull(), F.regexp_replace(text, ".$", "")).otherwise(text)
-    percent = F.contains(text, F.lit("%"))
-    factor = F.coalesce(scale, F.lit(1.0))
-    factor = F.when(percent, factor / 100).otherwise(factor)
-    return F.when(known, to_double(F.translate(text, "%", "")) * factor)
+    def scaled(t: Column) -> Column:
+        scale = F.coalesce(suffix_scale(t), F.lit(1.0))
+        # the suffix comes off first, so a percent sign may only stand before it or without it
+        number = F.translate(F.regexp_replace(t, "[KMBkmb]$", ""), "%", "")
+        return to_double(number) * F.when(F.contains(t, F.lit("%")), scale / 100).otherwise(scale)
+
+    return bind(F.translate(_strip(raw), " ,", ""), scaled)
 
 
 def _statement(raw: Column) -> Column:
-    text = _strip(raw)
-    known = ~text.isin(NULL_WORDS)
-    bracketed = F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))
-    text = F.when(bracketed, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
-    value = to_double(F.translate(text, ", ", ""))
-    return F.when(known, F.when(bracketed, -value).otherwise(value))
+    def signed(t: Column) -> Column:
+        value = to_double(F.translate(F.regexp_replace(t, BRACKETED, "$1"), ", ", ""))
+        return F.when(t.rlike(BRACKETED), -value).otherwise(value)
+
+    return bind(_strip(raw), signed)
 
 
 DIALECTS = {"market": _market, "loader": _loader, "statement": _statement}
@@ -95,11 +93,13 @@ def parse_number(text: Column | str, dialect: str = "market") -> Column:
 
 
 def safe_float(text: Column | str) -> Column:
-    """Report cells: percent text becomes a fraction, null words become null."""
-    cell = _strip(F.col(text) if isinstance(text, str) else text)
-    number = to_double(F.translate(cell, "%,", ""))
-    value = F.when(F.endswith(cell, F.lit("%")), number / 100).otherwise(number)
-    return F.when(~F.lower(cell).isin("", "nan", "none", "null"), value)
+    """Report cells: percent text becomes a fraction, anything but a number is null."""
+
+    def read(t: Column) -> Column:
+        number = to_double(F.translate(t, "%,", ""))
+        return F.when(F.endswith(t, F.lit("%")), number / 100).otherwise(number)
+
+    return bind(_strip(F.col(text) if isinstance(text, str) else text), read)
 
 
 def strict_bool(text: Column | str) -> Column:

@@ -32,9 +32,11 @@ def add_paths(df: DataFrame, series: Series, longest: int) -> DataFrame:
 
 def _first_hits(levels: list[float], hit) -> Column:
     """array: 1-based position in ``future`` of the first hit per level, 0 for none."""
-    return F.array(
-        *[F.array_position(F.transform("future", lambda x, lv=lv: hit(x, F.lit(lv))), True) for lv in levels]
-    )
+
+    def first(level: float) -> Column:
+        return F.array_position(F.transform("future", lambda x: hit(x, F.lit(level))), True)
+
+    return F.array(*[first(level) for level in levels])
 
 
 def explode_labels(df: DataFrame, grid: list[tuple[int, float, float]]) -> DataFrame:
