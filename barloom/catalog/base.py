@@ -138,7 +138,8 @@ def lag(column: str, rows: int = 1) -> str:
     return f"lag({column}, {rows}) OVER (PARTITION BY ticker ORDER BY date)"
 
 
-RETURNS = f"""{JOINED}, ret AS MATERIALIZED (
+def returns_sql(joined: str = JOINED) -> str:
+    return f"""{joined}, ret AS MATERIALIZED (
   SELECT *, ln(close / c1) AS r, ln(vn_close / vn1) AS vn_r, ln(close / c1) - ln(vn_close / vn1) AS rel,
     abs(close - c1) AS step, close * volume AS dv,
     CASE WHEN ln(close / c1) < 0 THEN ln(close / c1) ELSE 0 END AS fall,
@@ -150,6 +151,9 @@ RETURNS = f"""{JOINED}, ret AS MATERIALIZED (
           {lag('volume')} AS v1 FROM j) lagged)"""
 
 
+RETURNS = returns_sql()
+
+
 def ewm_cte(name: str, specs: dict[str, tuple[str, float]], base: str = "ret", seed_row: int = 1) -> str:
     """A recursive CTE running the textbook recursion one bar at a time."""
     seeds = ", ".join(f"CAST({source} AS double) AS {out}" for out, (source, _) in specs.items())

@@ -34,57 +34,72 @@ def _first_hits(levels: list[float], hit) -> Column:
     """array: 1-based position in ``future`` of the first hit per level, 0 for none."""
 
     def first(level: float) -> Column:
-        return F.array_position(F.transform("future", lambda x: hit(x, F.lit(level))), True)
+        return F.array_position(F.transform("future", lambda x: hit(x, F.lit(level))), True).cast("int")
 
     return F.array(*[first(level) for level in levels])
 
 
+def _moves_at(positions: Column) -> Column:
+    return F.transform(positions, lambda p: F.get("future", p - 1))
+
+
 def explode_labels(df: DataFrame, grid: list[tuple[int, float, float]]) -> DataFrame:
     """One row per bar and setup with the five label columns, plus LOOKAHEAD, TP, SL.
 
     Rows with fewer than LOOKAHEAD bars ahead have no label and are dropped, even after a hit.
+    Searches happen before the explode and the path stays behind: an exploded row carries only
+    its setup and the few positions and moves at which something can happen.
     """
-    tps = sorted({tp for _, tp, _ in grid})
-    sls = sorted({sl for _, _, sl in grid})
+    tps, sls, las = (sorted({g[i] for g in grid}) for i in (1, 2, 0))
     setups = F.array(
         *[
             F.struct(
                 F.lit(la).alias("LOOKAHEAD"), F.lit(tp).alias("TP"), F.lit(sl).alias("SL"),
                 F.lit(tps.index(tp)).alias("tp_i"), F.lit(sls.index(sl)).alias("sl_i"),
+                F.lit(las.index(la)).alias("la_i"),
             )
             for la, tp, sl in grid
         ]
     )
     kept = [c for c in df.columns if c != "future"]
-    hits = df.select(
-        *kept,
-        "future",
-        _first_hits(tps, lambda x, lv: x >= lv).alias("tp_hits"),
-        _first_hits(sls, lambda x, lv: x <= lv).alias("sl_hits"),
-        F.explode(F.filter(setups, lambda s: s["LOOKAHEAD"] <= F.size("future"))).alias("s"),
-    )
+    hits = df.withColumns(
+        {
+            "tp_hits": _first_hits(tps, lambda x, level: x >= level),
+            "sl_hits": _first_hits(sls, lambda x, level: x <= level),
+            "ahead": F.size("future"),
+        }
+    ).withColumns(
+        {
+            "tp_moves": _moves_at(F.col("tp_hits")),
+            "sl_moves": _moves_at(F.col("sl_hits")),
+            "la_moves": _moves_at(F.array(*[F.lit(la) for la in las])),
+        }
+    ).drop("future")
+    hits = hits.withColumn("s", F.explode(setups)).where(F.col("s.LOOKAHEAD") <= F.col("ahead"))
     lookahead = F.col("s.LOOKAHEAD")
 
     def within(position: Column) -> Column:
         return F.when((position > 0) & (position <= lookahead), position)
 
-    hits = hits.select(
-        *kept, "future", lookahead.alias("LOOKAHEAD"), "s.TP", "s.SL",
-        within(F.get("tp_hits", F.col("s.tp_i"))).alias("tp_at"),
-        within(F.get("sl_hits", F.col("s.sl_i"))).alias("sl_at"),
+    hits = hits.withColumns(
+        {
+            "tp_at": within(F.get("tp_hits", F.col("s.tp_i"))),
+            "sl_at": within(F.get("sl_hits", F.col("s.sl_i"))),
+        }
     )
     # the stop-loss is tested first on each bar
     stopped = F.col("sl_at").isNotNull() & (F.col("tp_at").isNull() | (F.col("sl_at") <= F.col("tp_at")))
-    hits = hits.withColumn(
-        "Exit_Reason", F.when(stopped, "sl").when(F.col("tp_at").isNotNull(), "tp").otherwise("timeout")
-    ).withColumn("Holding_Days", F.coalesce(F.least("sl_at", "tp_at"), F.col("LOOKAHEAD")).cast("int"))
-    return hits.select(
-        *kept, "LOOKAHEAD", "TP", "SL",
-        (F.col("Exit_Reason") == "tp").cast("int").alias("Target"),
-        "Holding_Days",
-        F.get("future", F.col("Holding_Days") - 1).alias("Exit_Return"),
-        "Exit_Reason",
-        (F.col("Exit_Reason") == "timeout").cast("int").alias("Timeout"),
+    won = ~stopped & F.col("tp_at").isNotNull()
+    return hits.withColumns({"stopped": stopped, "won": won}).select(
+        *kept, "s.LOOKAHEAD", "s.TP", "s.SL",
+        F.col("won").cast("int").alias("Target"),
+        F.when(F.col("stopped"), F.col("sl_at")).when(F.col("won"), F.col("tp_at")).otherwise(lookahead)
+        .alias("Holding_Days"),
+        F.when(F.col("stopped"), F.get("sl_moves", F.col("s.sl_i")))
+        .when(F.col("won"), F.get("tp_moves", F.col("s.tp_i")))
+        .otherwise(F.get("la_moves", F.col("s.la_i"))).alias("Exit_Return"),
+        F.when(F.col("stopped"), "sl").when(F.col("won"), "tp").otherwise("timeout").alias("Exit_Reason"),
+        (~F.col("stopped") & ~F.col("won")).cast("int").alias("Timeout"),
     )
 
 

@@ -1,8 +1,9 @@
 """Wide statement sheets to long statements to quarterly book equity.
 
-Sheets arrive as cells (sheet, row_idx, col_idx, text). Finding the header, naming the columns and
-unpivoting are joins and aggregations over cells. A sheet is bounded by its format (a worksheet has
-at most 16,384 columns); many sheets are processed in parallel.
+Sheets arrive as rows (sheet, row_idx, cells array). Whatever concerns one row is an array
+expression; the header is picked by one combining aggregation per sheet and joined back. The number
+of a row within its sheet needs a window: a sheet is bounded by its format (1,048,576 rows by
+16,384 columns at most, a few hundred rows in practice), and many sheets are processed in parallel.
 """
 
 from __future__ import annotations
@@ -53,86 +54,89 @@ def _is_account_label(text: Column) -> Column:
     return label.isin(ACCOUNT_LABELS) | F.contains(label, F.lit("chi tieu"))
 
 
-def cells_from_rows(rows: DataFrame) -> DataFrame:
-    """(sheet, row_idx, cells array) to one row per non-empty cell, which also drops blank rows
-    and columns."""
-    return rows.select("sheet", "row_idx", F.posexplode("cells").alias("col_idx", "text")).where(
-        "text IS NOT NULL AND trim(text) <> ''"
-    )
+def _blank_to_null(rows: DataFrame) -> DataFrame:
+    cells = F.transform("cells", lambda t: F.nullif(F.trim(t), F.lit("")))
+    return rows.select("sheet", "row_idx", cells.alias("cells"))
+
 
+def sheet_headers(rows: DataFrame) -> DataFrame:
+    """Per sheet: header row, account column and its period columns.
 
-def find_header_rows(cells: DataFrame) -> DataFrame:
-    """Per sheet: the first of the leading rows with an account label and enough period labels,
+    The header is the first of the leading rows with an account label and enough period labels,
     else the row with most period labels if there are enough."""
-    per_row = (
-        cells.where(F.col("row_idx") < HEADER_SCAN_ROWS)
-        .groupBy("sheet", "row_idx")
-        .agg(
-            F.max(_is_account_label(F.col("text")).cast("int")).alias("labeled"),
-            F.count(parse_period(F.col("text"))).alias("periods"),
-        )
-        .where(F.col("periods") >= MIN_PERIOD_LABELS)
+    leading = _blank_to_null(rows).where(F.col("row_idx") < HEADER_SCAN_ROWS).withColumns(
+        {
+            "labels": F.transform("cells", lambda t: F.coalesce(_is_account_label(t), F.lit(False))),
+            "parsed": F.transform("cells", parse_period),
+        }
     )
-    return per_row.groupBy("sheet").agg(
+    periods = F.size(F.filter("parsed", lambda p: p.isNotNull()))
+    leading = leading.withColumn("periods", periods).where(F.col("periods") >= MIN_PERIOD_LABELS)
+    row = F.struct("row_idx", "cells", "labels", "parsed")
+    labeled = F.array_contains("labels", True)
+    heads = leading.groupBy("sheet").agg(
         F.coalesce(
-            F.min(F.when(F.col("labeled") == 1, F.col("row_idx"))),
-            F.max_by("row_idx", F.struct("periods", -F.col("row_idx"))),
-        ).alias("header_row")
+            F.min_by(row, F.when(labeled, F.col("row_idx"))),
+            F.max_by(row, F.struct("periods", -F.col("row_idx"))),
+        ).alias("h")
     )
-
-
-def header_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Per sheet and period column: account column, label, year, quarter and its dates."""
-    header = cells.join(headers, "sheet").where(F.col("row_idx") == F.col("header_row"))
-    header = header.withColumn("period", parse_period(F.col("text")))
-    account = header.groupBy("sheet", "header_row").agg(
-        F.coalesce(
-            F.min(F.when(_is_account_label(F.col("text")), F.col("col_idx"))),
-            F.min(F.when(F.col("period").isNull(), F.col("col_idx"))),
-        ).alias("account_col")
+    no_period = F.transform("h.parsed", lambda p: p.isNull())
+    by_label = F.array_position("h.labels", True)
+    columns = F.filter(
+        F.transform(
+            "h.parsed",
+            lambda p, i: F.when(
+                p.isNotNull(),
+                F.struct(
+                    i.alias("col_idx"), F.get("h.cells", i).alias("label"),
+                    p["year"].alias("year"), p["quarter"].alias("quarter"),
+                ),
+            ),
+        ),
+        lambda c: c.isNotNull(),
     )
-    year, quarter = F.col("period.year"), F.col("period.quarter")
-    end = quarter_end(year, quarter)
-    periods = header.where("period IS NOT NULL").select(
-        "sheet", "col_idx", F.trim("text").alias("Period_Label"), year.alias("Calendar_Year"),
-        quarter.alias("Calendar_Quarter"), end.alias("Quarter_End_Date"),
-        effective_date(end, quarter).alias("Effective_Date"),
+    return heads.select(
+        "sheet", F.col("h.row_idx").alias("header_row"),
+        (F.when(by_label > 0, by_label).otherwise(F.array_position(no_period, True)) - 1)
+        .cast("int").alias("account_col"),
+        columns.alias("columns"),
     )
-    return periods.join(account, "sheet")
 
 
-def account_rows(cells: DataFrame, account_columns: DataFrame) -> DataFrame:
-    """Named rows below the header with their running account id."""
-    named = (
-        cells.join(account_columns, "sheet")
-        .where((F.col("row_idx") > F.col("header_row")) & (F.col("col_idx") == F.col("account_col")))
-        .withColumn("Account_Name", clean_account_name("text"))
-        .where("Account_Name <> ''")
+def find_header_rows(rows: DataFrame) -> DataFrame:
+    return sheet_headers(rows).select("sheet", "header_row")
+
+
+def statement_long(rows: DataFrame, keep_missing: bool = True) -> DataFrame:
+    """One row per account and quarter with its parsed value. Blank rows and quarters without any
+    value are left out; accounts are numbered in sheet order."""
+    body = _blank_to_null(rows).join(sheet_headers(rows), "sheet").where(
+        (F.col("row_idx") > F.col("header_row")) & F.exists("cells", lambda t: t.isNotNull())
     )
     order = Window.partitionBy("sheet").orderBy("row_idx")
-    return named.select(
-        "sheet", "row_idx",
-        F.format_string("BS_%03d", F.row_number().over(order)).alias("Account_ID"),
-        (F.col("row_idx") + 1).alias("Original_Excel_Row"),
-        "Account_Name",
-        normalize_text("Account_Name").alias("Account_Name_Normalized"),
+    name = clean_account_name(F.get("cells", F.col("account_col")))
+    named = (
+        body.withColumns({"Account_Name": name, "position": F.row_number().over(order)})
+        .where("Account_Name <> ''")
+        .withColumn("account_no", F.row_number().over(order))
     )
-
-
-def statement_long(cells: DataFrame, keep_missing: bool = True) -> DataFrame:
-    """One row per account and quarter with its parsed value."""
-    columns = header_columns(cells, find_header_rows(cells))
-    accounts = account_rows(cells, columns.select("sheet", "header_row", "account_col").distinct())
-    grid = accounts.join(columns.drop("header_row", "account_col"), "sheet")
-    values = cells.select("sheet", "row_idx", "col_idx", parse_number("text", "statement").alias("Value"))
-    long = grid.join(values, ["sheet", "row_idx", "col_idx"], "left" if keep_missing else "inner")
-    if not keep_missing:
-        long = long.where("Value IS NOT NULL")
-    return long.select(
-        F.upper("sheet").alias("Ticker"), F.lit("Balance Sheet").alias("Statement"), "Account_ID",
-        "Original_Excel_Row", "Account_Name", "Account_Name_Normalized", "Period_Label",
-        "Calendar_Year", "Calendar_Quarter", "Quarter_End_Date", "Effective_Date", "Value",
+    cell = F.get("cells", F.col("c.col_idx"))
+    used = Window.partitionBy("sheet", "c.col_idx")
+    grid = named.withColumn("c", F.explode("columns")).withColumn("text", cell)
+    grid = grid.withColumn("column_used", F.max(F.col("text").isNotNull()).over(used)).where("column_used")
+    year, quarter = F.col("c.year"), F.col("c.quarter")
+    end = quarter_end(year, quarter)
+    long = grid.select(
+        F.upper("sheet").alias("Ticker"), F.lit("Balance Sheet").alias("Statement"),
+        F.format_string("BS_%03d", "account_no").alias("Account_ID"),
+        (F.col("header_row") + 1 + F.col("position")).alias("Original_Excel_Row"),
+        "Account_Name", normalize_text("Account_Name").alias("Account_Name_Normalized"),
+        F.col("c.label").alias("Period_Label"), year.alias("Calendar_Year"),
+        quarter.alias("Calendar_Quarter"), end.alias("Quarter_End_Date"),
+        effective_date(end, quarter).alias("Effective_Date"),
+        parse_number("text", "statement").alias("Value"),
     )
+    return long if keep_missing else long.where("Value IS NOT NULL")
 
 
 PERIOD_KEYS = ["Ticker", "Period_Label", "Calendar_Year", "Calendar_Quarter", "Quarter_End_Date", "Effective_Date"]

@@ -55,8 +55,8 @@ def profile_results(
 
 
 def best_setups(results: DataFrame, keys: list[str], setups: list[dict]) -> DataFrame:
-    """Highest score per key and profile; on ties the earlier grid row. ``Evaluated_Setups`` is the
-    size of the profile's grid."""
+    """Highest score per key and profile; scores equal to ten digits are ties, and the earlier grid
+    row wins. ``Evaluated_Setups`` is the size of the profile's grid."""
     evaluated: dict[str, int] = {}
     for s in setups:
         evaluated[s["Profile"]] = evaluated.get(s["Profile"], 0) + 1
@@ -66,7 +66,7 @@ def best_setups(results: DataFrame, keys: list[str], setups: list[dict]) -> Data
     best = (
         results.where("Score IS NOT NULL")
         .groupBy(*keys, "Profile")
-        .agg(F.max_by(row, F.struct("Score", -F.col("Grid_Ordinal"))).alias("row"))
+        .agg(F.max_by(row, F.struct(F.round("Score", 10), -F.col("Grid_Ordinal"))).alias("row"))
     )
     return best.select(*keys, "Profile", "row.*").withColumns(
         {
@@ -128,7 +128,7 @@ def resolve_setups(
         union = union.unionByName(part)
     row = F.struct(*SETUP_KEY, "Setup_Source")
     # ties break on the setup itself so the choice does not depend on partitioning
-    order = F.struct("priority", "Score", *[-F.col(c) for c in SETUP_KEY])
+    order = F.struct("priority", F.round("Score", 10), *[-F.col(c) for c in SETUP_KEY])
     return union.groupBy(*keys).agg(F.max_by(row, order).alias("row")).select(*keys, "row.*")
 
 
@@ -142,7 +142,7 @@ def optimize_profiles(metrics: DataFrame, setups: list[dict], keys: list[str]) -
 def rank_diagnostics(diagnostics: DataFrame, keys: list[str]) -> DataFrame:
     """Diagnostics order inside each key and profile: valid first, then score."""
     order = Window.partitionBy(*keys, "Profile").orderBy(
-        F.desc("Valid"), F.desc_nulls_last("Score"), "Grid_Ordinal"
+        F.desc("Valid"), F.desc_nulls_last(F.round("Score", 10)), "Grid_Ordinal"
     )
     return diagnostics.withColumn("Rank", F.row_number().over(order))
 
