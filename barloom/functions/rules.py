@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barloom.contracts import MAX_HALF_KELLY_PCT, STRONG_WATCH, WEAK_SIGNAL
+from barloom.functions.numbers import bind
 
 
 def breakeven_precision(tp: Column, sl: Column, cost: Column) -> Column:
@@ -59,12 +60,36 @@ def half_kelly_pct(signal: Column, precision: Column, tp: Column, sl: Column) ->
     return F.when(F.coalesce(tradable, F.lit(False)), capped).otherwise(0.0)
 
 
+def _product_error(value: Column, scale: float) -> Column:
+    """What ``value * scale`` loses to rounding, exactly (Dekker's product of split halves)."""
+    splitter = 134217729.0
+    s_high = splitter * scale - (splitter * scale - scale)
+    s_low = scale - s_high
+    high = value * splitter - (value * splitter - value)
+    low = value - high
+    return low * s_low - (value * scale - high * s_high - low * s_high - high * s_low)
+
+
+def _fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text of the double's exact value with ties to even, as C and Python format it;
+    Java's formatter rounds the shortest decimal text up instead."""
+    scale = float(10**digits)
+
+    def text(v: Column) -> Column:
+        scaled = v * scale
+        error = F.when(scaled - F.floor(scaled) == 0.5, _product_error(v, scale)).otherwise(0.0)
+        whole = F.when(error > 0, F.ceil(scaled)).when(error < 0, F.floor(scaled)).otherwise(F.rint(scaled))
+        return F.format_string(f"%.{digits}f", whole / scale)
+
+    return bind(value, text)
+
+
 def percent_text(value: Column, digits: int = 2, missing: str = "") -> Column:
-    return F.when(value.isNull(), missing).otherwise(F.format_string(f"%.{digits}f%%", value * 100))
+    return F.when(value.isNull(), missing).otherwise(F.concat(_fixed(value * 100, digits), F.lit("%")))
 
 
 def number_text(value: Column, digits: int = 4, missing: str = "") -> Column:
-    return F.when(value.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", value))
+    return F.when(value.isNull(), missing).otherwise(_fixed(value, digits))
 
 
 def count_text(value: Column, missing: str = "") -> Column:
@@ -73,7 +98,7 @@ def count_text(value: Column, missing: str = "") -> Column:
 
 def grouped_count_text(value: Column, missing: str = "n/a") -> Column:
     """Whole number with thousands commas."""
-    return F.when(value.isNull(), missing).otherwise(F.format_string("%,d", F.bround(value, 0).cast("bigint")))
+    return F.when(value.isNull(), missing).otherwise(F.format_string("%,d", F.rint(value).cast("bigint")))
 
 
 def setup_label(lookahead: Column, tp: Column, sl: Column, threshold: Column) -> Column:

@@ -224,7 +224,7 @@ def add_features(
         "ER_20": lambda: efficiency(20),
         "ER_30": lambda: efficiency(30),
     }
-    wanted = features if columns is None else [name for name in columns if name in features]
+    wanted = features if columns is None else [n for n in dict.fromkeys(columns) if n in features]
     output = [finite(features[name]()).alias(name) for name in wanted]
 
     planned = []

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom import contracts as K
 from barloom.operators import evaluate as E
 from barloom.operators.labels import label_frame, label_setups
+from barloom.operators.stability import EXPERIMENT_METRICS, add_deltas
 
 SETUP_SCHEMA = (
     "Profile string, LOOKAHEAD int, TP double, SL double, THRESH double, Grid_Ordinal int, "
@@ -153,3 +154,18 @@ def global_grid_best(metrics: DataFrame, keys: list[str], setups: list[dict]) ->
         setups_frame(metrics.sparkSession, setups).select(*SETUP_KEY, "Grid_Ordinal", "Profile")
     )
     return best_setups(E.simple_score(metrics.join(grid, SETUP_KEY)), keys, setups)
+
+
+def experiment_matrix(
+    metrics: DataFrame, setups: list[dict], chosen: DataFrame, cost: float = 0.0, min_edge: float = 0.0
+) -> DataFrame:
+    """Ticker x profile x feature set x {fixed, re-optimized} in one table, with deltas against the
+    baseline set. ``chosen`` holds the frozen setup per (ticker, Profile). Metrics are read by both
+    modes and by the choice, so the caller materializes them first."""
+    results = profile_results(metrics, setups, cost, min_edge)
+    best = best_setups(results, ["ticker", "Feature_Set"], setups)
+    frozen = results.join(chosen, ["ticker", "Profile", *SETUP_KEY]).withColumn(
+        "Experiment_Mode", F.lit("fixed_setup")
+    )
+    both = frozen.unionByName(best, allowMissingColumns=True).withColumnRenamed("ticker", "Ticker")
+    return add_deltas(both, ["Ticker", "Profile", "Experiment_Mode"], EXPERIMENT_METRICS, "Delta_vs_Baseline")

@@ -18,6 +18,7 @@ from barloom.operators.stability import (
     FROZEN_DELTAS, FROZEN_METRICS, PERIOD_METRICS, add_deltas, stability,
 )
 from barloom.plans import search
+from barloom.session import cut_lineage
 
 PERIOD_KEYS = ["Period_Label", "ticker"]
 
@@ -51,7 +52,8 @@ def walkforward(
     """Re-optimized search per period: (results with period deltas, stability per feature set)."""
     keys = [*PERIOD_KEYS, "Feature_Set"]
     metrics = search.grid_metrics(features, PERIOD_KEYS, setups, complete, scores)
-    best = search.best_setups(search.profile_results(metrics, setups, cost, min_edge), keys, setups)
+    # one row per period, ticker, profile and set; read twice below
+    best = cut_lineage(search.best_setups(search.profile_results(metrics, setups, cost, min_edge), keys, setups))
     results = add_deltas(
         best, ["Period_Label", "ticker", "Profile", "Experiment_Mode"], PERIOD_METRICS, "Delta_vs_Period_Baseline"
     )
@@ -76,7 +78,7 @@ def frozen_walkforward(
     """One fixed setup for every feature set and period: (results with deltas, stability)."""
     if "baseline" not in scores:
         raise ValueError("the baseline feature set is needed for the deltas")
-    results = _frozen_results(features, [setup], complete, scores, cost, min_edge)
+    results = cut_lineage(_frozen_results(features, [setup], complete, scores, cost, min_edge))
     results = add_deltas(
         results, ["Period_Label", "ticker", "Profile"], FROZEN_METRICS, "Delta_vs_Period_Baseline"
     )

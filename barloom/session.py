@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -23,12 +25,22 @@ def build_session(app_name: str = "barloom", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names; in local mode a fresh temporary one stands in."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder so a lost executor costs no recomputation
-    of everything upstream. Without a configured folder the plan is left as it is."""
+    """Materialize a result that several later steps read, so that it is computed once and a lost
+    executor costs no recomputation of everything upstream. On a cluster without a checkpoint
+    folder the plan is left as it is."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = checkpoint_folder(spark)
+        if folder is None:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
