@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from barloom import contracts as K
 from barloom.catalog.base import RETURNS, feature_frame, query, roll
 from barloom.catalog.evaluation import (
-    DIAGNOSED, FIXED, GRADE_COLUMNS, GRADE_DIGITS, GRADE_SQL, GRID, KEYS, NEEDED, PERIOD_JOINED, S1, S3, best_sql, complete,
-    frame, frame_sql, graded_sql, metrics, one_score, periods_frame, scores,
+    DIAGNOSED, FIXED, GRADE_COLUMNS, GRADE_DIGITS, GRADE_SQL, GRID, KEYS, PERIOD_JOINED, S1, S3, best_sql, complete,
+    frame, frame_sql, graded_sql, metrics, periods_frame, scores,
 )
-from barloom.functions import rules as R
 from barloom.operators import decide as D
 from barloom.operators import stability as S
 from barloom.operators.labels import latest_complete
@@ -467,4 +466,4 @@ def gbt_signal(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     features = feature_frame(spark, sf_dir, columns=MODEL_COLUMNS)
     rows = signal.latest_signals(features, MODEL_COLUMNS, FIXED[0], "demonstration", "SWING", trees=3, depth=3)
-    return rows.limit(1).select(F.inline("top_model_features"))
+    return rows.select(F.inline("top_model_features")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rules as R
 from barloom.functions.numbers import is_close, strict_bool, value_matches
-from barloom.operators.stability import PERIOD_METRICS, add_deltas
+from barloom.operators.stability import PERIOD_METRICS
 
 RESULT_KEYS = ["Ticker", "Profile", "Experiment_Mode", "Feature_Set"]
 

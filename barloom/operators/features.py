@@ -51,11 +51,11 @@ def add_features(
 ) -> DataFrame:
     """Features of the registry except valuation, one wide row per bar; ``columns`` limits them.
 
-    Formulas ask for intermediate columns by name, and only what was asked for is planned, pass by
+    NaN and infinite inputs count as missing, and bars without a close are left out. Formulas ask for intermediate columns by name, and only what was asked for is planned, pass by
     pass from the last to the first.
     """
     keys = keys or ["ticker"]
-    s = Series(keys)
+    s = Series(keys, row_column="rn")
     close, volume, net, vn = (F.col(c) for c in ("close", "volume", "net_volume_foreign", "vn_close"))
     if not foreign:
         bars = bars.withColumn("net_volume_foreign", F.lit(None).cast("double"))
@@ -68,7 +68,6 @@ def add_features(
         return F.col(name)
 
     raw = {  # windows over the raw columns
-        "rn": s.row_number,
         "c1": lambda: s.lag("close"),
         "c10": lambda: s.lag("close", 10),
         "c14": lambda: s.lag("close", 14),
@@ -225,18 +224,22 @@ def add_features(
         "ER_30": lambda: efficiency(30),
     }
     wanted = features if columns is None else [n for n in dict.fromkeys(columns) if n in features]
-    output = [finite(features[name]()).alias(name) for name in wanted]
+    output = [features[name]().alias(name) for name in wanted]
 
     planned = []
     for step in reversed(passes):
         if step is EWMS:
             chosen = [e for e in EWMS if e.name in asked]
             asked.update(e.source for e in chosen)
-            asked.update(["rn"] if chosen else [])
         else:
             chosen = {name: make() for name, make in step.items() if name in asked}
         planned.append(chosen)
-    df = bars
+    # finite inputs keep every formula finite: denominators carry an epsilon, logs of nothing are null
+    inputs = [name for name in ("close", "low", "volume", "net_volume_foreign", "vn_close") if name in bars.columns]
+    df = bars.withColumns({name: finite(F.col(name)) for name in inputs})
+    df = df.where("close IS NOT NULL AND vn_close IS NOT NULL")
+    if any(planned):
+        df = df.withColumn("rn", s.row_number())
     for step in reversed(planned):
         if isinstance(step, list):
             df = add_ewm(df, s, step, "rn") if step else df

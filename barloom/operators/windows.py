@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 
 class Series:
-    """Row-positional access to the series given by ``keys``, in ``order``."""
+    """Row-positional access to the series given by ``keys``, in ``order``.
 
-    def __init__(self, keys: list[str], order: str = "date"):
-        self.keys, self.order = list(keys), order
+    ``row_column`` names an existing 1-based row number; with it, full-window checks cost one
+    running maximum instead of a count over every window."""
+
+    def __init__(self, keys: list[str], order: str = "date", row_column: str | None = None):
+        self.keys, self.order, self.row_column = list(keys), order, row_column
         self.window = Window.partitionBy(*keys).orderBy(order)
         self.so_far = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.before = self.window.rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +43,18 @@ class Series:
     def roll(self, value: Column | str, rows: int, agg, min_periods: int | None = None) -> Column:
         """``agg`` over the last ``rows`` rows; null until enough of them are non-null."""
         frame = self.frame(rows)
-        return F.when(F.count(value).over(frame) >= (min_periods or rows), agg(value).over(frame))
+        if min_periods is None and self.row_column is not None:
+            enough = self.rows_since_null(value) >= rows
+        else:
+            enough = F.count(value).over(frame) >= (min_periods or rows)
+        return F.when(enough, agg(value).over(frame))
+
+    def rows_since_null(self, value: Column | str) -> Column:
+        """Length of the run of non-null values that ends here."""
+        position = F.col(self.row_column)
+        column = F.col(value) if isinstance(value, str) else value
+        last_null = F.max(F.when(column.isNull(), position)).over(self.so_far)
+        return position - F.coalesce(last_null, F.lit(0))
 
 
 @dataclass(frozen=True)

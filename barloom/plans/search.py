@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom import contracts as K
 from barloom.operators import evaluate as E
 from barloom.operators.labels import label_frame, label_setups
 from barloom.operators.stability import EXPERIMENT_METRICS, add_deltas

@@ -38,7 +38,7 @@ NUMBERS = {  # text: (market, loader, statement)
 }
 
 
-@pytest.mark.parametrize("index,dialect", enumerate(["market", "loader", "statement"]))
+@pytest.mark.parametrize("index,dialect", [(0, "market"), (1, "loader"), (2, "statement")])
 def test_number_dialects(spark, index, dialect):
     got = values(spark, list(NUMBERS), parse_number("t", dialect))
     for text, value, want in zip(NUMBERS, got, NUMBERS.values()):

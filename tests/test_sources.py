@@ -126,3 +126,16 @@ def test_signal_json(spark, tmp_path):
     results.save_signals(df, str(tmp_path / "s"))
     text = next(pathlib.Path(tmp_path / "s" / "folder=AAA").glob("*.json")).read_text()
     assert json.loads(text) == {"ticker": "AAA", "signal": {"x": 1}}
+
+
+def test_one_hot_key_keeps_its_last_row_and_combines_before_the_shuffle(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), (F.col("id") % 500).cast("string"))).alias("ticker"),
+        F.lit("2026-06-16").cast("date").alias("date"),
+        F.col("id").alias("ordinal"),
+    )
+    out = market.daily_unique(df, ["ticker"], "ordinal")
+    rows = {r.ticker: r.ordinal for r in out.collect()}
+    assert rows["HOT"] == 8997 and len(rows) == df.select("ticker").distinct().count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
