@@ -1,8 +1,9 @@
-"""Session settings. On a cluster, executors, memory and parallelism come from spark-submit."""
+"""Session settings and the shared work folder. On a cluster, executors, memory and parallelism come
+from spark-submit."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,22 +26,26 @@ def build_session(app_name: str = "barloom", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; in local mode a fresh temporary one stands in."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-    return folder
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, a
+    folder beside the warehouse tables, which driver and executors share as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize a result that several later steps read, so that it is computed once and a lost
-    executor costs no recomputation of everything upstream. On a cluster without a checkpoint
-    folder the plan is left as it is."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = checkpoint_folder(spark)
-        if folder is None:
-            return df
-        spark.sparkContext.setCheckpointDir(folder)
+    executor costs no recomputation of everything upstream."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table in the work folder: compressed, and read back by
+    column. The folder's owner clears it; names are unique, so that reruns never meet."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
