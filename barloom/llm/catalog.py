@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, mixing, pii, quality_rules, sharding
+from barloom.llm import exact_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding
 
 
 def table(spark, sf_dir, name):
@@ -15,6 +15,14 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("capacity")
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("print")
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).withColumn("broken", F.array_join("broken", ","))
 
@@ -33,6 +41,8 @@ def op8_mixing(spark, sf_dir):
 
 LLM_QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op2_quality_classifier": (op2_quality_classifier, None),
+    "op4_near_dedup": (op4_near_dedup, None),
     "op5_quality_rules": (op5_quality_rules, quality_rules.SQL),
     "op6_exact_dedup": (op6_exact_dedup, exact_dedup.SQL),
     "op7_pii": (op7_pii, pii.SQL),
