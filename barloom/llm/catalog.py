@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding
+from barloom.llm import (
+    exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_matrix, url_filter,
+)
 
 
 def table(spark, sf_dir, name):
@@ -19,6 +21,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("print")
 
@@ -39,12 +45,23 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("print")
 
 
+def op9_token_matrix(spark, sf_dir):
+    return token_matrix.token_matrix(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 LLM_QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
+    "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_near_dedup": (op4_near_dedup, None),
     "op5_quality_rules": (op5_quality_rules, quality_rules.SQL),
     "op6_exact_dedup": (op6_exact_dedup, exact_dedup.SQL),
     "op7_pii": (op7_pii, pii.SQL),
     "op8_mixing": (op8_mixing, mixing.SQL),
+    "op9_token_matrix": (op9_token_matrix, None),
+    "op10_url_filter": (op10_url_filter, None),
 }
