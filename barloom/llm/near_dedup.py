@@ -8,13 +8,15 @@ tokens of both documents in any common order. The order is rarest first, so that
 (of passages that many documents share) are skipped when documents are posted. Candidates from those
 prefixes have all their tokens counted, and what has enough matches is confirmed on the full sets.
 
-Equal sets are one class from the start, so copies are never paired. In a posting list the first class
-is compared with each other one, which is linear; pairs between other members are only looked at where a
-list still holds several components afterwards. Members of one component need no comparison, so no link
-between components is lost, and no list emits all its pairs unless its members really are unlinked.
+Equal sets are one class from the start, so copies are never paired. In a posting list the most central
+class (whose tokens are the most frequent) is compared with each other one, which is linear and links
+the bulk of a group. Only classes whose lists still hold several components are looked at again: their
+full sets are joined by prefixes whose length follows from the exact overlap that the two sizes need, and
+only across components. So no link between components is lost, members of one component are never
+compared, and classes that merely resemble each other meet only if they share rare shingles.
 
 How it scales: texts are read once for signatures, and once more, in one shuffle, for the sets of the
-classes that have candidates. Counts of tokens combine before the shuffle; joins on tokens are plain
+classes that share a list. Counts of tokens combine before the shuffle; joins on tokens are plain
 equi-joins whose skewed partitions the adaptive planner splits; a document has at most ``PERMUTATIONS``
 postings.
 
@@ -131,59 +133,78 @@ def bodies(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
-    """(node, token): the prefix tokens that another class has too."""
+    """(node, central, token): the prefix tokens that another class has too. The higher ``central``, the
+    more frequent a class's tokens."""
     tokens = classes.select("node", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    held = tokens.join(shared, "token").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"), F.sum("df").alias("central")
+    )
     # tokens of no other class come first in the order and take their share of the prefix
     room = F.lit(PREFIX - PERMUTATIONS) + F.size("held")
-    return held.where(room > 0).select("node", F.explode(F.slice("held", F.lit(1), room)).alias("h")).select("node", "h.token")
+    return held.where(room > 0).select("node", "central", F.explode(F.slice("held", F.lit(1), room)).alias("h")).select(
+        "node", "central", "h.token"
+    )
 
 
-def similar_length(a: str, b: str):
-    return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
+def need(a: str, b: str):
+    """The least overlap of two sets of these sizes that makes a link."""
+    return F.ceil((F.col(a) + F.col(b)) * PERCENT / (100 + PERCENT))
 
 
-def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs with enough tokens in common."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(
-        similar_length("n_a", "n_b") & (F.size(F.array_intersect("t_a", "t_b")) >= MATCHES)
-    ).select("a", "b", "n_a", "n_b")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough, as edges (u, v)."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def class_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, shingles) from the texts of the classes' first documents."""
     wanted = nodes.join(classes, "node").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.print").alias("r_print"))
     body = bodies(docs)
     texts = body.join(wanted, body["doc_id"].eqNullSafe(wanted["r_id"]) & (body["print"] == wanted["r_print"]))
-    sets = written(
-        texts.select("node", "body").mapInArrow(sets_of, "node long, shingles array<bigint>").dropDuplicates(["node"]), "sets"
-    )
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both).where(
-        100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))
-    ).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # repeats of a row give the same set again
+    return texts.select("node", "body").mapInArrow(sets_of, "node long, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def first_of_lists(posted: DataFrame) -> DataFrame:
-    """Pairs of the first class of a list with each other one."""
-    lists = posted.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return posted.join(lists.select("token", "a"), "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """Pairs of the most central class of a list with each other one."""
+    lists = posted.groupBy("token").agg(F.max_by("node", F.struct("central", "node")).alias("a"))
+    return posted.join(lists, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def across_components(posted: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share a list but no component."""
-    held = posted.join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node").select(
-        "token", "node", "n_shingles", F.coalesce("label", "node").alias("label")
-    )
+def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs with enough tokens in common."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    similar = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+        similar & (F.size(F.array_intersect("t_a", "t_b")) >= MATCHES)
+    ).select("a", "b")
+
+
+def across_components(posted: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that may overlap enough, among those whose lists hold
+    several components."""
+    held = posted.select("node", "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = held.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    left = held.join(mixed, "token", "left_semi")
-    a = left.select("token", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("l_a"))
-    b = left.select("token", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("l_b"))
-    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & similar_length("n_a", "n_b")).select("a", "b").distinct()
+    nodes = held.join(mixed, "token", "left_semi").select("node", "label").distinct()
+    left = nodes.join(sets, "node").withColumn("n", F.size("shingles"))
+    each = left.select("node", "label", "n", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = each.join(shared, "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    # shingles of no other class come first; nothing after a quarter of the set can be the first in common
+    alone = F.col("n") - F.size("held")
+    room = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - alone
+    places = ordered.where(room > 0).select(
+        "node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), room.cast("int"))).alias("k", "h")
+    ).select("node", "label", "n", "h.shingle", (F.col("alone") + F.col("k") + 1).alias("place"))
+    a, b = (places.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "place")]) for x in "ab")
+    reach = lambda x: F.col(f"place_{x}") <= F.col(f"n_{x}") - need("n_a", "n_b") + 1
+    return a.join(b, "shingle").where(
+        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reach("a") & reach("b")
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough, as edges (u, v)."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"), F.size("shingles").alias(f"n_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(
+        F.size(F.array_intersect("s_a", "s_b")) >= need("n_a", "n_b")
+    ).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,12 +224,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes.select("class", "node"), "class", "left").drop("class"), "members")
     posted = written(prefixes(classes), "postings")
 
-    first = written(first_of_lists(posted), "pairs")
-    links = written(confirmed(written(matching(first, classes), "pairs"), docs, classes), "links")
-    labels = components(links)
-    rest = written(matching(across_components(posted, labels, classes).join(first, ["a", "b"], "left_anti"), classes), "pairs")
-    if not rest.isEmpty():
-        links = links.union(confirmed(rest, docs, classes))
+    listed = posted.join(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token", "left_semi")
+    sets = written(class_sets(listed.select("node").distinct(), docs, classes), "sets")
+    links = written(confirmed(matching(first_of_lists(posted), classes), sets), "links")
+    rest = across_components(posted, components(links), sets)
+    links = written(links.union(confirmed(rest, sets)), "links")
     # rows that share an id
     shared = members.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     linked = members.join(shared.select("doc_id", "u"), "doc_id").where("node <> u").select("u", F.col("node").alias("v"))
