@@ -183,8 +183,7 @@ votes AS (
   FROM (SELECT file, sum(CASE WHEN style = 2 THEN 1 ELSE 0 END) AS iso,
       sum(CASE WHEN style = 0 AND day(d) > 12 OR style = 1 AND month(d) > 12 THEN 1 ELSE 0 END) AS first,
       sum(CASE WHEN style = 0 AND month(d) > 12 OR style = 1 AND day(d) > 12 THEN 1 ELSE 0 END) AS second
-    FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ordinal) AS rn FROM raw) r
-    WHERE rn <= 300 GROUP BY file) counts)"""
+    FROM raw GROUP BY file) counts)"""
 
 
 @query("date_order_detect", f"WITH {RAW} SELECT file, date_order FROM votes")

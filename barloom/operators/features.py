@@ -28,10 +28,15 @@ EWMS = [
 ]
 
 
-def join_benchmark(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
-    """Inner join on date. The benchmark has one row per calendar day, a fixed bound of a few
-    megabytes even for centuries, so it is broadcast and bars are not shuffled."""
-    return bars.join(F.broadcast(index_bars.select("date", "vn_close")), "date")
+def join_benchmark(bars: DataFrame, index_bars: DataFrame, index_id: str | None = None) -> DataFrame:
+    """Inner join on date with the benchmark, or with the one named ``index_id`` of several.
+
+    The benchmark is reduced to one row per calendar day here (of repeats the highest close), a fixed
+    bound of a few megabytes even for centuries, so it is broadcast and bars are not shuffled."""
+    if index_id is not None:
+        index_bars = index_bars.where(F.col("index_id") == index_id)
+    daily = index_bars.groupBy("date").agg(F.max("vn_close").alias("vn_close"))
+    return bars.join(F.broadcast(daily), "date")
 
 
 def _log_ratio(now: Column, then: Column) -> Column:

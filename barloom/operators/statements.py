@@ -45,7 +45,6 @@ ACCOUNT_ALIASES = {
         "Lợi ích của cổ đông thiểu số",
     ],
 }
-HEADER_SCAN_ROWS = 40
 MIN_PERIOD_LABELS = 4
 
 
@@ -62,9 +61,9 @@ def _blank_to_null(rows: DataFrame) -> DataFrame:
 def sheet_headers(rows: DataFrame) -> DataFrame:
     """Per sheet: header row, account column and its period columns.
 
-    The header is the first of the leading rows with an account label and enough period labels,
+    The header is the first row with an account label and enough period labels,
     else the row with most period labels if there are enough."""
-    leading = _blank_to_null(rows).where(F.col("row_idx") < HEADER_SCAN_ROWS).withColumns(
+    leading = _blank_to_null(rows).withColumns(
         {
             "labels": F.transform("cells", lambda t: F.coalesce(_is_account_label(t), F.lit(False))),
             "parsed": F.transform("cells", parse_period),

@@ -9,7 +9,9 @@ skew join instead of landing in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.dates import order_from_votes, order_votes, parse_date
@@ -68,7 +70,6 @@ INDEX_FILE_MARKS = ["VNINDEX", "VN30", "HNXINDEX"]
 INDEX_HEADER_MARKS = ["vnopen", "vnhigh", "vnlow", "vnclose", "vnvolume", "vnchangepct", "vndate"]
 STOCK_REQUIRED = ["Date", "Open", "High", "Low", "Close", "Volume"]
 INDEX_REQUIRED = ["Date", "Open", "High", "Low", "Close"]
-DATE_SAMPLE = 300
 SEPARATORS = [",", ";", "\t", "|"]
 
 # --------------------------------------------------------------------------------------------------
@@ -85,23 +86,49 @@ def alias_map() -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def read_market_csv(
-    spark: SparkSession, path: str, fallback: str = "windows-1258", max_columns: int = 64
-) -> DataFrame:
-    """(file, ordinal, modified, cells) of all CSVs below ``path``.
+def relative_to(path: str) -> Column:
+    """The scanned file's path below ``path``: unique, and the plain name in a flat folder."""
+    root = re.escape(path.split("://", 1)[-1].rstrip("/"))
+    return F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{root}/(?=.)", "")
 
-    Lines that are not valid UTF-8 are decoded with the ``fallback`` code page. The separator is
-    the one most frequent in the file's header line.
-    """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_name").alias("file"),
+
+def file_name(file: Column | str = "file") -> Column:
+    return F.regexp_extract(file, "[^/]*$", 0)
+
+
+def split_cells(text: Column, separator: str) -> Column:
+    """All cells of a line; quoted ones may hold separators and doubled quotes."""
+    s = re.escape(separator)
+    found = F.regexp_extract_all(F.concat(F.lit(separator), text), F.lit(f'{s}(?:"(?:[^"]|"")*+"[^{s}]*|[^{s}]*)'), F.lit(0))
+
+    def cell(match):
+        plain = F.substr(match, F.lit(2))
+        quoted = F.regexp_extract(plain, '^"((?:[^"]|"")*+)"', 1)
+        return F.when(plain.rlike('^"(?:[^"]|"")*+"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain)
+
+    return F.transform(found, lambda m: F.nullif(F.trim(cell(m)), F.lit("")))
+
+
+def read_market_csv(spark: SparkSession, path: str, fallback: str = "windows-1258") -> DataFrame:
+    """(file, ordinal, modified, cells) of all CSVs below ``path``, cut by ``parse_lines``."""
+    return parse_lines(spark.read.option("recursiveFileLookup", "true").text(path).select(
+        relative_to(path).alias("file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
         ).alias("ordinal"),
-        F.when(F.is_valid_utf8("value"), F.col("value"))
-        .otherwise(F.decode(F.col("value").cast("binary"), fallback))
-        .alias("text"),
+        F.col("value").alias("text"),
         F.col("_metadata.file_modification_time").alias("modified"),
+    ), fallback)
+
+
+def parse_lines(lines: DataFrame, fallback: str = "windows-1258") -> DataFrame:
+    """(file, ordinal, modified, cells) from lines (file, ordinal, text, modified).
+
+    Lines that are not valid UTF-8 are decoded with the ``fallback`` code page. The separator is
+    the one most frequent in the file's header line. A quoted cell ends with its line."""
+    lines = lines.withColumn(
+        "text",
+        F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(F.decode(F.col("text").cast("binary"), fallback)),
     ).where("trim(text) <> ''")
     header = lines.groupBy("file").agg(F.min_by("text", "ordinal").alias("header"))
     counts = F.array(
@@ -111,13 +138,10 @@ def read_market_csv(
         ]
     )
     sniffed = header.select("file", (-F.array_max(counts)["i"]).alias("sep"))
-    schema = ", ".join(f"c{i} string" for i in range(max_columns))
-    parsed = F.lit(None).cast(f"struct<{schema.replace(' ', ':')}>".replace(",:", ","))
+    cells = F.lit(None).cast("array<string>")
     for i, s in enumerate(SEPARATORS):
-        parsed = F.when(F.col("sep") == i, F.from_csv("text", schema, {"sep": s})).otherwise(parsed)
-    table = lines.join(sniffed, "file").select("file", "ordinal", "modified", parsed.alias("p"))
-    cells = F.array(*[F.nullif(F.trim(F.col(f"p.c{i}")), F.lit("")) for i in range(max_columns)])
-    return table.select("file", "ordinal", "modified", cells.alias("cells"))
+        cells = F.when(F.col("sep") == i, split_cells(F.col("text"), s)).otherwise(cells)
+    return lines.join(sniffed, "file").select("file", "ordinal", "modified", cells.alias("cells"))
 
 
 def file_headers(raw: DataFrame) -> DataFrame:
@@ -136,7 +160,7 @@ def file_headers(raw: DataFrame) -> DataFrame:
             F.transform("names", lambda n, i: F.when(n == target, i)), lambda i: i.isNotNull()
         ),
     )
-    compact = F.regexp_replace(F.upper(F.regexp_replace("file", r"\.[^.]*$", "")), r"[ _-]", "")
+    compact = F.regexp_replace(F.upper(F.regexp_replace(file_name(), r"\.[^.]*$", "")), r"[ _-]", "")
     named = F.lit(False)
     for mark in INDEX_FILE_MARKS:
         named = named | F.contains(compact, F.lit(mark))
@@ -171,16 +195,11 @@ def date_text() -> Column:
     return F.get("texts", F.lit(0))
 
 
-def detect_date_orders(texts: DataFrame, sample: int = DATE_SAMPLE) -> DataFrame:
-    """Per file: iso, monthfirst or dayfirst, from its first non-null dates.
-
-    The rank filter is pushed below the shuffle as a group limit, so a file of any size sends at
-    most ``sample`` rows per task."""
-    order = Window.partitionBy("file").orderBy("ordinal")
-    dates = texts.select("file", "ordinal", date_text().alias("text")).where("text IS NOT NULL")
-    first = dates.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+def detect_date_orders(texts: DataFrame) -> DataFrame:
+    """Per file: iso, monthfirst or dayfirst, by the votes of all its dates. Votes are sums, which
+    combine before the shuffle, so a file of any size sends one row per task."""
     votes = order_votes(F.col("text"))
-    return first.select("file", votes.alias("v")).groupBy("file").agg(
+    return texts.select("file", date_text().alias("text")).where("text IS NOT NULL").select("file", votes.alias("v")).groupBy("file").agg(
         order_from_votes(F.sum("v.iso"), F.sum("v.first"), F.sum("v.second")).alias("date_order")
     )
 
@@ -239,7 +258,7 @@ def standardize(raw: DataFrame) -> DataFrame:
 
 def stock_table(clean: DataFrame) -> DataFrame:
     """Stock bars under their target schema; the ticker is the file name's first part."""
-    ticker = F.upper(F.regexp_extract("file", r"^([^._]+)", 1))
+    ticker = F.upper(F.regexp_extract(file_name(), r"^([^._]+)", 1))
     return clean.where("kind = 'stock'").select(ticker.alias("ticker"), *STOCK_COLUMNS)
 
 

@@ -139,3 +139,48 @@ def test_one_hot_key_keeps_its_last_row_and_combines_before_the_shuffle(spark):
     assert rows["HOT"] == 8997 and len(rows) == df.select("ticker").distinct().count()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+def standardized(spark, folder):
+    raw = market.read_market_csv(spark, str(folder))
+    texts = market.text_columns(raw, market.file_headers(raw))
+    return market.typed_rows(texts, market.detect_date_orders(texts))
+
+
+def test_columns_after_many_others(spark, tmp_path):
+    others = ",".join(f"x{i}" for i in range(66))
+    row = ",".join(["1"] * 66)
+    (tmp_path / "WIDE.csv").write_text(f"{others},Date,Open,High,Low,Close,Volume\n{row},2026-01-05,1,2,1,2,9\n", encoding="utf-8")
+    got = standardized(spark, tmp_path).collect()
+    assert [(str(r["Date"]), r["Close"], r["Volume"]) for r in got] == [("2026-01-05", 2.0, 9.0)]
+
+
+def test_same_file_name_in_two_folders(spark, tmp_path):
+    for folder, text in (("a", "Date,Open,High,Low,Close,Volume\n2026-01-05,1,2,1,2,9\n"), ("b", "Close,Date,Open,High,Low,Volume\n7,2026-01-06,6,8,5,3\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "CTD.csv").write_text(text, encoding="utf-8")
+    rows = standardized(spark, tmp_path)
+    assert {(r["file"], str(r["Date"]), r["Close"]) for r in rows.collect()} == {("a/CTD.csv", "2026-01-05", 2.0), ("b/CTD.csv", "2026-01-06", 7.0)}
+    assert {r["ticker"] for r in market.stock_table(rows).collect()} == {"CTD"}
+    assert market.file_audit(market.read_market_csv(spark, str(tmp_path))).where("status = 'SUCCESS'").count() == 2
+
+
+def test_dates_ambiguous_for_300_rows(spark, tmp_path):
+    lines = [f"{1 + i % 12:02d}/{1 + i // 12 % 12:02d}/{2000 + i // 144},1,2,1,2,9" for i in range(320)] + ["02/25/2019,1,2,1,2,9"]
+    (tmp_path / "LATE.csv").write_text("\n".join(["Date,Open,High,Low,Close,Volume", *lines]), encoding="utf-8")
+    got = standardized(spark, tmp_path)
+    assert {r["date_order"] for r in got.collect()} == {"monthfirst"} and got.where("Date IS NULL").count() == 0
+
+
+def test_quoted_cells(spark):
+    line = spark.range(1).select(market.split_cells(F.lit(',"a, b","say ""x""", c ,,"open'), ",").alias("cells")).first()
+    assert line["cells"] == [None, "a, b", 'say "x"', "c", None, '"open']
+
+
+def test_benchmark_is_one_row_per_day(spark):
+    from barloom.operators.features import join_benchmark
+
+    stock = spark.createDataFrame([("A", "2026-01-05", 1.0)], "ticker string, date string, close double")
+    index = spark.createDataFrame([("x", "2026-01-05", 5.0), ("x", "2026-01-05", 6.0), ("y", "2026-01-05", 9.0)], "index_id string, date string, vn_close double")
+    assert [r["vn_close"] for r in join_benchmark(stock, index, "x").collect()] == [6.0]
+    assert join_benchmark(stock, index).count() == 1

@@ -80,3 +80,11 @@ def test_asof_is_inclusive_and_percentile_counts_ties(spark):
     assert audit["latest_pb"][0] == "-6.0" and audit["pb_median"][0] == "0.0"
     merged = merge_valuation(left.select("ticker", "date"), spark.createDataFrame(out).select("ticker", "date", "PB"), ["PB", "Log_PB"])
     assert merged.columns == ["ticker", "date", "PB", "Log_PB"] and merged.count() == 6
+
+
+def test_header_in_row_60(spark):
+    from barloom.operators.statements import sheet_headers
+
+    rows = [("S", i, ["note", None, None, None, None]) for i in range(60)] + [("S", 60, ["Chỉ tiêu", "Q1 2024", "Q2 2024", "Q3 2024", "Q4 2024"])]
+    found = sheet_headers(spark.createDataFrame(rows, "sheet string, row_idx int, cells array<string>")).collect()
+    assert len(found) == 1 and 60 in found[0].asDict().values()
