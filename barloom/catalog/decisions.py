@@ -436,7 +436,7 @@ _KELLY = "least(greatest((Validation_Precision - (1 - Validation_Precision) / (t
     "radar_summary",
     f"""WITH RECURSIVE {best_sql(SWING, S1)}, latest AS (SELECT ticker, max(date) FILTER (rn >= 60) AS d,
   max_by(s1, date) FILTER (rn >= 60) AS p FROM f GROUP BY 1),
-tier AS (SELECT *, {_TIER} AS tier FROM best JOIN latest USING (ticker)),
+tier AS (SELECT *, {_TIER} AS tier FROM best JOIN latest USING (ticker) WHERE score IS NOT NULL),
 sized AS (SELECT *, CAST(CASE WHEN tier IN ('VALID ENTRY', 'STRONG WATCH') THEN {_KELLY} ELSE 0 END AS double) AS pct FROM tier)
 SELECT ticker, profile AS Profile, d AS Latest_Feature_Date, p AS probability, tier AS Signal, pct AS Half_Kelly_Pct,
   printf('%.1f%%', pct) AS Position_Size FROM sized""",

@@ -137,7 +137,11 @@ fold AS MATERIALIZED (SELECT ticker, fs, la, tp, sl, size, segment, th, n, pos,
 
 
 def metrics_sql(setups: list[dict], sets: dict[str, str], joined: str = JOINED) -> str:
-    return f"""{folds_sql(setups, sets, joined)}, m AS MATERIALIZED (
+    names = ", ".join(f"('{name}')" for name in sets)
+    return f"""{folds_sql(setups, sets, joined)}, expected AS (
+  SELECT ticker, fs, la, tp::double AS tp, sl::double AS sl, th
+  FROM (SELECT DISTINCT ticker FROM f) s CROSS JOIN (VALUES {names}) n(fs) CROSS JOIN setups CROSS JOIN thr),
+m AS MATERIALIZED (
   SELECT *, trades_n AS Trades, CASE WHEN trades_n > 0 THEN correct_n / trades_n ELSE 0 END AS Validation_Precision,
     CASE WHEN valid > 1 THEN spread WHEN trades_n > 0 THEN 0 END AS Precision_Std,
     CASE WHEN trades_n > 0 THEN pos_n / test_n END AS Base_Rate,
@@ -146,12 +150,14 @@ def metrics_sql(setups: list[dict], sets: dict[str, str], joined: str = JOINED)
     ret_n / nullif(trades_n, 0) AS Avg_Return, hold_n / nullif(trades_n, 0) AS Avg_Holding_Days,
     out_n / nullif(trades_n, 0) AS Timeout_Rate,
     ret_n / nullif(trades_n, 0) / (hold_n / nullif(trades_n, 0) + 1e-9) AS Expectancy_Per_Day
-  FROM (SELECT ticker, fs, la, tp, sl, th, max(size) AS rows_n, CAST(sum(trades) AS double) AS trades_n,
+  FROM (SELECT * REPLACE (coalesce(rows_n, 0) AS rows_n, coalesce(trades_n, 0) AS trades_n, coalesce(valid, 0) AS valid)
+    FROM expected LEFT JOIN (SELECT ticker, la, tp, sl, max(size) AS rows_n FROM lab GROUP BY ALL) r USING (ticker, la, tp, sl)
+    LEFT JOIN (SELECT ticker, fs, la, tp, sl, th, CAST(sum(trades) AS double) AS trades_n,
       CAST(sum(correct) AS double) AS correct_n, CAST(sum(pos) AS double) AS pos_n, CAST(sum(n) AS double) AS test_n,
       count(CASE WHEN trades > 0 THEN 1 END) AS valid, stddev_pop(CASE WHEN trades > 0 THEN correct / trades END) AS spread,
       avg(CASE WHEN trades > 0 THEN correct / trades END) AS mean_precision,
       sum(ret) AS ret_n, CAST(sum(hold) AS double) AS hold_n, CAST(sum(timeouts) AS double) AS out_n
-    FROM fold GROUP BY ALL) sums)"""
+    FROM fold GROUP BY ALL) sums USING (ticker, fs, la, tp, sl, th)) filled)"""
 
 
 def setups_values(setups: list[dict]) -> str:
@@ -181,9 +187,12 @@ graded AS MATERIALIZED (SELECT *, CASE WHEN trades_n = 0 THEN 'NO_SIGNAL' WHEN p
 
 
 def best_sql(*args, **options) -> str:
-    return f"""{graded_sql(*args, **options)}, best AS MATERIALIZED (SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER
-    (PARTITION BY ticker, fs, profile ORDER BY round(score, 10) DESC, ordinal) AS pick FROM graded WHERE score IS NOT NULL) r
-  WHERE pick = 1)"""
+    return f"""{graded_sql(*args, **options)}, best AS MATERIALIZED (SELECT * EXCLUDE (pick) REPLACE (CASE WHEN score IS NOT NULL THEN la END AS la,
+    CASE WHEN score IS NOT NULL THEN tp END AS tp, CASE WHEN score IS NOT NULL THEN sl END AS sl,
+    CASE WHEN score IS NOT NULL THEN th END AS th, CASE WHEN score IS NOT NULL THEN be END AS be,
+    CASE WHEN score IS NOT NULL THEN rows_n ELSE 0 END AS rows_n)
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticker, fs, profile ORDER BY round(score, 10) DESC NULLS LAST, ordinal) AS pick
+    FROM graded) r WHERE pick = 1)"""
 
 
 METRIC_DIGITS = {

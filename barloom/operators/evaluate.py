@@ -52,47 +52,58 @@ def segment_stats(labeled: DataFrame, keys: list[str], thresholds: list[float])
     )
 
 
-def fold_stats(
+def fold_table(
     labeled: DataFrame, keys: list[str], thresholds: list[float], min_rows: int = K.MIN_LABELED_ROWS
 ) -> DataFrame:
-    """Per key, setup, threshold and fold. Folds whose training rows show a single class are left
-    out, base counts included."""
-    stats = segment_stats(labeled.where(F.col("Rows") >= min_rows), keys, thresholds)
+    """Per key, setup, threshold and segment, with ``usable``: false for the first training rows, for keys with
+    fewer labeled rows than ``min_rows`` and for folds whose training rows show a single class."""
+    stats = segment_stats(labeled, keys, thresholds)
     earlier = Window.partitionBy(*keys, *SETUP).orderBy("segment").rowsBetween(
         Window.unboundedPreceding, -1
     )
     stats = stats.withColumns(
         {"Train_Count": F.sum("count").over(earlier), "Train_Positive": F.sum("positive").over(earlier)}
-    ).where("segment > 0 AND Train_Positive > 0 AND Train_Positive < Train_Count")
+    )
+    two_classes = F.coalesce(F.expr("segment > 0 AND Train_Positive > 0 AND Train_Positive < Train_Count"), F.lit(False))
     return stats.select(
-        *keys, *SETUP, "Rows", F.col("segment").alias("Fold"),
+        *keys, *SETUP, "Rows", F.col("segment").alias("Fold"), (two_classes & (F.col("Rows") >= min_rows)).alias("usable"),
         F.col("count").alias("Test_Count"), F.col("positive").alias("Test_Positive"),
         "Train_Count", "Train_Positive",
         F.inline("per_threshold"),
     )
 
 
+def fold_stats(
+    labeled: DataFrame, keys: list[str], thresholds: list[float], min_rows: int = K.MIN_LABELED_ROWS
+) -> DataFrame:
+    """Per key, setup, threshold and fold. Folds that are not usable are left out, base counts included."""
+    folds = fold_table(labeled.where(F.col("Rows") >= min_rows), keys, thresholds, min_rows)
+    return folds.where("usable").drop("usable")
+
+
 def class_weight(count: Column, positive: Column) -> Column:
     """Weight of the positive class: negatives per positive, 1 when there is no positive."""
     return F.when(positive == 0, 1.0).otherwise((count - positive) / F.nullif(positive, F.lit(0)))
 
 
 def setup_metrics(folds: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold statistics to one row of raw metrics per key, setup and threshold."""
-    traded = F.col("Fold_Trades") > 0
+    """The fold table to one row of raw metrics per key, setup and threshold. Only usable folds count; a key
+    without any has a row with no trades."""
+    traded = F.col("usable") & (F.col("Fold_Trades") > 0)
     precision = F.when(traded, F.col("Fold_Correct") / F.nullif(F.col("Fold_Trades"), F.lit(0)))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("usable"), F.col(c))), F.lit(0))
     sums = folds.groupBy(*keys, *SETUP, "THRESH").agg(
         F.max("Rows").alias("Rows"),
-        F.sum("Fold_Trades").alias("Trades"),
-        F.sum("Fold_Correct").alias("correct"),
-        F.sum("Test_Positive").alias("positive"),
-        F.sum("Test_Count").alias("tested"),
+        total("Fold_Trades").alias("Trades"),
+        total("Fold_Correct").alias("correct"),
+        total("Test_Positive").alias("positive"),
+        total("Test_Count").alias("tested"),
         F.count(precision).alias("Valid_Folds"),
         F.avg(precision).alias("Mean_Fold_Precision"),
         F.stddev_pop(precision).alias("spread"),
-        F.sum("Return_Sum").alias("returns"),
-        F.sum("Holding_Sum").alias("holding"),
-        F.sum("Timeout_Sum").alias("timeouts"),
+        total("Return_Sum").alias("returns"),
+        total("Holding_Sum").alias("holding"),
+        total("Timeout_Sum").alias("timeouts"),
     )
     trades = F.nullif(F.col("Trades"), F.lit(0))
     base_rate = F.when(F.col("Trades") > 0, F.col("positive") / F.greatest("tested", F.lit(1)))

@@ -43,10 +43,11 @@ def _moves_at(positions: Column) -> Column:
     return F.transform(positions, lambda p: F.get("future", p - 1))
 
 
-def explode_labels(df: DataFrame, grid: list[tuple[int, float, float]]) -> DataFrame:
+def explode_labels(df: DataFrame, grid: list[tuple[int, float, float]], stands_in: Column | None = None) -> DataFrame:
     """One row per bar and setup with the five label columns, plus LOOKAHEAD, TP, SL.
 
-    Rows with fewer than LOOKAHEAD bars ahead have no label and are dropped, even after a hit.
+    Rows with fewer than LOOKAHEAD bars ahead have no label and are dropped, even after a hit, but for those that
+    ``stands_in``, over the columns of ``df`` and ``s.LOOKAHEAD``, keeps.
     Searches happen before the explode and the path stays behind: an exploded row carries only
     its setup and the few positions and moves at which something can happen.
     """
@@ -75,8 +76,11 @@ def explode_labels(df: DataFrame, grid: list[tuple[int, float, float]]) -> DataF
             "la_moves": _moves_at(F.array(*[F.lit(la) for la in las])),
         }
     ).drop("future")
-    hits = hits.withColumn("s", F.explode(setups)).where(F.col("s.LOOKAHEAD") <= F.col("ahead"))
     lookahead = F.col("s.LOOKAHEAD")
+    labeled = lookahead <= F.col("ahead")
+    hits = hits.withColumn("s", F.explode(setups)).where(labeled if stands_in is None else labeled | stands_in)
+    if stands_in is not None:
+        kept.remove("first_bar")
 
     def within(position: Column) -> Column:
         return F.when((position > 0) & (position <= lookahead), position)
@@ -104,18 +108,24 @@ def explode_labels(df: DataFrame, grid: list[tuple[int, float, float]]) -> DataF
 
 
 def rank_rows(
-    df: DataFrame, series: Series, lookaheads: list[int], complete: Column
+    df: DataFrame, series: Series, lookaheads: list[int], complete: Column, keep_first: bool = False
 ) -> DataFrame:
     """Keep complete rows; ``rank`` is their 0-based order, ``labeled`` maps a lookahead to the
     number of complete rows that get a label. Neither depends on tp or sl, so both are known
-    before setups are exploded."""
+    before setups are exploded. With ``keep_first`` the series' ``first_bar`` stays in any case, without
+    a path if it is not complete."""
     df = df.withColumn("__ok", F.coalesce(complete, F.lit(False)))
     df = df.withColumn("rank", F.sum(F.col("__ok").cast("int")).over(series.so_far) - 1)
     counts = {
         f"__n{la}": F.count(F.when(F.col("__ok") & (F.size("future") >= la), 1)).over(series.whole)
         for la in lookaheads
     }
-    df = df.withColumns(counts).where("__ok")
+    if keep_first:
+        df = df.withColumns({**counts, "first_bar": series.row_number() == 1}).where("__ok OR first_bar").withColumn(
+            "future", F.when(F.col("__ok"), F.col("future")).otherwise(F.array().cast("array<double>"))
+        )
+    else:
+        df = df.withColumns(counts).where("__ok")
     labeled = F.create_map(*[x for la in lookaheads for x in (F.lit(la), F.col(f"__n{la}"))])
     return df.withColumn("labeled", labeled).drop("__ok", *counts)
 
@@ -136,15 +146,19 @@ def label_frame(
     grid: list[tuple[int, float, float]],
     complete: Column,
     carry: list[Column | str],
+    every_series: bool = False,
 ) -> DataFrame:
     """Bars to labeled rows of every setup: keys, date, ``carry`` columns, setup, labels, rank,
-    number of labeled rows (``Rows``) and fold ``segment``."""
+    number of labeled rows (``Rows``) and fold ``segment``. With ``every_series`` a series without any labeled
+    row for a setup is represented by its first bar, with 0 ``Rows``, so that no second pass has to find it."""
     series = Series(keys)
     lookaheads = sorted({la for la, _, _ in grid})
     df = add_paths(features, series, max(lookaheads))
-    df = rank_rows(df, series, lookaheads, complete)
-    df = df.select(*keys, "date", *carry, "rank", "labeled", "future")
-    df = explode_labels(df, grid)
+    df = rank_rows(df, series, lookaheads, complete, every_series)
+    first = ["first_bar"] if every_series else []
+    df = df.select(*keys, "date", *carry, "rank", "labeled", "future", *first)
+    unlabeled = F.col("first_bar") & (F.try_element_at("labeled", F.col("s.LOOKAHEAD")) == 0)
+    df = explode_labels(df, grid, unlabeled if every_series else None)
     rows = F.try_element_at("labeled", F.col("LOOKAHEAD"))
     df = df.withColumn("Rows", rows).drop("labeled")
     return df.withColumn("segment", fold_segment(F.col("rank"), F.col("Rows")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom import contracts as K
 from barloom.operators import evaluate as E
 from barloom.operators.labels import label_frame, label_setups
 from barloom.operators.stability import EXPERIMENT_METRICS, add_deltas
@@ -34,15 +35,19 @@ def grid_metrics(
     scores: dict[str, Column],
 ) -> DataFrame:
     """Raw metrics per key, feature set, setup and threshold. ``scores`` maps a feature-set name to
-    its score column; sets share paths, labels and the pass over the data."""
+    its score column; sets share paths, labels and the pass over the data.
+
+    Every key of ``features`` has a row for every set, setup and threshold: one without labeled rows, with too
+    few of them or without a usable fold has no trades."""
     labeled = label_frame(
         features, keys, label_setups(setups), complete,
         [F.array(*[F.struct(F.lit(n).alias("Feature_Set"), s.alias("score")) for n, s in scores.items()]).alias("scored")],
+        every_series=True,
     )
     labeled = labeled.select("*", F.inline("scored")).drop("scored")
     thresholds = sorted({s["THRESH"] for s in setups})
     out_keys = [*keys, "Feature_Set"]
-    return E.setup_metrics(E.fold_stats(labeled, out_keys, thresholds), out_keys)
+    return E.setup_metrics(E.fold_table(labeled, out_keys, thresholds), out_keys)
 
 
 def profile_results(
@@ -51,24 +56,36 @@ def profile_results(
     """Metrics of every setup of every profile, graded under the profile's limits."""
     # the grid is a fixed dimension of at most a few hundred rows
     grid = F.broadcast(setups_frame(metrics.sparkSession, setups))
-    return E.grade(metrics.join(grid, SETUP_KEY), cost, min_edge)
+    return noted(E.grade(metrics.join(grid, SETUP_KEY), cost, min_edge))
+
+
+def noted(results: DataFrame) -> DataFrame:
+    few = F.col("Rows") < K.MIN_LABELED_ROWS
+    return results.withColumn("Reject_Note", F.when(few, "insufficient_labeled_rows").otherwise(""))
+
+
+# fixed values: what a key and profile shows that no setup could be scored for
+NO_SIGNAL = {
+    "Validation_Precision": 0.0, "Trades": 0, "Valid_Folds": 0, "Rows": 0, "Research_Status": "NO_SIGNAL",
+    "Pass_Tradeable_Rule": False, "Reject_Note": "no_valid_evaluation",
+}
 
 
 def best_setups(results: DataFrame, keys: list[str], setups: list[dict]) -> DataFrame:
     """Highest score per key and profile; scores equal to ten digits are ties, and the earlier grid
-    row wins. ``Evaluated_Setups`` is the size of the profile's grid."""
+    row wins. A key and profile without any score gives a NO_SIGNAL row without a setup. ``Evaluated_Setups``
+    is the size of the profile's grid."""
     evaluated: dict[str, int] = {}
     for s in setups:
         evaluated[s["Profile"]] = evaluated.get(s["Profile"], 0) + 1
     size = F.create_map(*[F.lit(x) for pair in evaluated.items() for x in pair])
     row = F.struct(*[c for c in results.columns if c not in (*keys, "Profile")])
     # an aggregate, not a ranking window: combines before it shuffles
-    best = (
-        results.where("Score IS NOT NULL")
-        .groupBy(*keys, "Profile")
-        .agg(F.max_by(row, F.struct(F.round("Score", 10), -F.col("Grid_Ordinal"))).alias("row"))
-    )
-    return best.select(*keys, "Profile", "row.*").withColumns(
+    scored = F.col("Score").isNotNull()
+    order = F.struct(F.round("Score", 10), -F.col("Grid_Ordinal"))
+    best = results.groupBy(*keys, "Profile").agg(F.max_by(F.when(scored, row), F.when(scored, order)).alias("row"))
+    unscored = {c: value for c, value in NO_SIGNAL.items() if c in results.columns}
+    return best.select(*keys, "Profile", "row.*").fillna(unscored).withColumns(
         {
             "Experiment_Mode": F.lit("reoptimized"),
             "Evaluated_Setups": F.try_element_at(size, F.col("Profile")),
@@ -76,28 +93,11 @@ def best_setups(results: DataFrame, keys: list[str], setups: list[dict]) -> Data
     )
 
 
-def no_signal_rows(expected: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
-    """One NO_SIGNAL row for every expected key and profile that no setup could be scored for."""
-    missing = expected.join(best, [*keys, "Profile"], "left_anti")
-    rows = missing.withColumns(
-        {
-            "Experiment_Mode": F.lit("reoptimized"),
-            "Validation_Precision": F.lit(0.0),
-            "Trades": F.lit(0).cast("bigint"),
-            "Valid_Folds": F.lit(0).cast("bigint"),
-            "Research_Status": F.lit("NO_SIGNAL"),
-            "Pass_Tradeable_Rule": F.lit(False),
-            "Reject_Note": F.lit("no_valid_evaluation"),
-        }
-    )
-    return best.withColumn("Reject_Note", F.lit("")).unionByName(rows, allowMissingColumns=True)
-
-
 def fixed_results(
     metrics: DataFrame, chosen: DataFrame, keys: list[str], cost: float = 0.0, min_edge: float = 0.0
 ) -> DataFrame:
     """Grade each key's one chosen setup; ``chosen`` holds keys, Profile, setup and limits."""
-    graded = E.grade(metrics.join(chosen, [*keys, *SETUP_KEY]), cost, min_edge)
+    graded = noted(E.grade(metrics.join(chosen, [*keys, *SETUP_KEY]), cost, min_edge))
     return graded.withColumn("Experiment_Mode", F.lit("fixed_setup"))
 
 

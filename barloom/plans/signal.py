@@ -101,8 +101,9 @@ def payload(
 
 
 def radar_summary(best: DataFrame, latest: DataFrame) -> DataFrame:
-    """Best setup per ticker and profile with the latest probability, its tier and position size."""
-    df = best.join(latest.select("ticker", "Latest_Feature_Date", "Latest_Close", "probability"), "ticker")
+    """Best setup per ticker and profile with the latest probability, its tier and position size; nothing for
+    a profile without a scored setup."""
+    df = best.where("Score IS NOT NULL").join(latest.select("ticker", "Latest_Feature_Date", "Latest_Close", "probability"), "ticker")
     df = df.withColumn("Signal", R.classify_signal(F.col("probability"), F.col("THRESH")))
     size = R.half_kelly_pct(F.col("Signal"), F.col("Validation_Precision"), F.col("TP"), F.col("SL"))
     return df.withColumns(

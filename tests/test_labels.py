@@ -128,9 +128,9 @@ def test_no_trades_keep_null_metrics_and_zero_precision(spark):
     assert (row.Trades, row.Validation_Precision, row.Research_Status) == (0, 0.0, "NO_SIGNAL")
     assert row.Score is None and row.Base_Rate is None and row.Pass_Tradeable_Rule is False
     best = search.best_setups(search.profile_results(metrics, setups), ["ticker", "Feature_Set"], setups)
-    expected = metrics.select("ticker", "Feature_Set").distinct().withColumn("Profile", F.lit("P"))
-    filled = search.no_signal_rows(expected, best, ["ticker", "Feature_Set"]).first()
+    filled = best.first()
     assert (filled.Research_Status, filled.Reject_Note) == ("NO_SIGNAL", "no_valid_evaluation")
+    assert filled.LOOKAHEAD is None and (filled.Trades, filled.Rows, filled.Evaluated_Setups) == (0, 0, 1)
 
 
 def test_equal_scores_go_to_the_earlier_grid_row(spark):
