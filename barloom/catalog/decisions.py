@@ -8,7 +8,7 @@ from barloom import contracts as K
 from barloom.catalog.base import RETURNS, feature_frame, query, roll
 from barloom.catalog.evaluation import (
     DIAGNOSED, FIXED, GRADE_COLUMNS, GRADE_DIGITS, GRADE_SQL, GRID, KEYS, PERIOD_JOINED, S1, S3, best_sql, complete,
-    frame, frame_sql, graded_sql, metrics, periods_frame, scores,
+    SHORT_PERIODS, SHORT_ROWS, frame, frame_sql, graded_sql, metrics, period_joined, periods_frame, scores,
 )
 from barloom.operators import decide as D
 from barloom.operators import stability as S
@@ -290,6 +290,36 @@ def frozen_walkforward(spark, sf_dir):
     return ranked(stable, S.FROZEN_ORDER, ["Feature_Set"])
 
 
+SHORT_FIXED = f"""{graded_sql(FIXED, S3, period_joined(SHORT_PERIODS, SHORT_ROWS), 0.0, MIN_EDGE)},
+sz AS MATERIALIZED (SELECT * REPLACE (split_part(ticker, '|', 1) AS ticker), split_part(ticker, '|', 2) AS label FROM graded)"""
+
+
+@query(
+    "short_period_results",
+    f"""WITH RECURSIVE {SHORT_FIXED} SELECT ticker, label AS Period_Label, fs AS Feature_Set, {GRADE_SQL},
+  CASE WHEN rows_n < 100 THEN 'insufficient_labeled_rows' ELSE '' END AS Reject_Note FROM sz""",
+    GRADE_DIGITS,
+)
+def short_period_results(spark, sf_dir):
+    """A frozen setup over periods that give more than, fewer than and none of the labels a fold needs."""
+    return _short(spark, sf_dir)[0].select("ticker", "Period_Label", "Feature_Set", *GRADE_COLUMNS, "Reject_Note")
+
+
+@query(
+    "short_period_stability",
+    f"""WITH RECURSIVE {SHORT_FIXED} {stable_sql("sz", "ticker, fs AS Feature_Set", "Frozen_Strict_Candidate")}""",
+    STABLE_DIGITS,
+)
+def short_period_stability(spark, sf_dir):
+    """Periods without a signal count in the pass rate."""
+    return S.stability(_short(spark, sf_dir)[0], ["ticker", "Feature_Set"], MIN_EDGE, "Frozen_Strict_Candidate")
+
+
+def _short(spark, sf_dir):
+    features = periods_frame(spark, sf_dir, SHORT_PERIODS, SHORT_ROWS)
+    return W.frozen_grid(features, FIXED, complete(), scores(), 0.0, MIN_EDGE)
+
+
 
 PERIOD_GRID = f"""{graded_sql(GRID, S3, PERIOD_JOINED, 0.0, MIN_EDGE)},
 gz AS (SELECT * REPLACE (split_part(ticker, '|', 1) AS ticker), split_part(ticker, '|', 2) AS label FROM graded),

@@ -2,7 +2,7 @@
 
 Model probabilities are stood in for by deterministic columns in [0, 1]: RSI/100 for the baseline
 set, distance from the 60-day high for the recovery set, efficiency ratio for the trend-recovery
-set. Everything after the probability is the same either way.
+set, a tenth of it for a set that never trades. Everything after the probability is the same either way.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ PERIODS = [
     ("P3", "1999-01-01", "2000-06-30"),
     ("P4", "2000-07-01", "2001-12-31"),
 ]
+#: the second has too few bars for a hundred labels, the third for any
+SHORT_PERIODS = [("Q1", "1995-01-01", "1995-11-30"), ("Q2", "1996-01-01", "1996-05-10"), ("Q3", "1997-01-01", "1997-04-10")]
+SHORT_ROWS = 60
 KEYS = ["ticker"]
 
 
@@ -43,6 +46,8 @@ def scores():
         "baseline": F.col("RSI_14") / 100,
         "candidate_recovery_v1": F.col("Drawdown_60") + 1,
         "candidate_trend_recovery_v1": F.col("ER_10"),
+        # never reaches a threshold
+        "candidate_quiet_v1": F.col("ER_10") / 10,
     }
 
 
@@ -58,8 +63,8 @@ def frame(spark, sf_dir):
     return feature_frame(spark, sf_dir, columns=NEEDED)
 
 
-def periods_frame(spark, sf_dir):
-    return period_features(bars(spark, sf_dir), index_bars(spark, sf_dir), PERIODS, NEEDED)
+def periods_frame(spark, sf_dir, periods=PERIODS, min_rows=K.MIN_PERIOD_ROWS):
+    return period_features(bars(spark, sf_dir), index_bars(spark, sf_dir), periods, NEEDED, min_rows)
 
 
 def metrics(spark, sf_dir, setups=SETUPS, scored=one_score):
@@ -68,16 +73,22 @@ def metrics(spark, sf_dir, setups=SETUPS, scored=one_score):
 
 # ---- SQL side ------------------------------------------------------------------------------------
 
-_PERIOD_ROWS = ", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in PERIODS)
-PERIOD_JOINED = f"""{JOINED.split(', j AS MATERIALIZED')[0]}, periods(label, lo, hi) AS (VALUES {_PERIOD_ROWS}),
+
+
+def period_joined(periods: list[tuple[str, str, str]], min_rows: int = 250) -> str:
+    rows = ", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in periods)
+    return f"""{JOINED.split(', j AS MATERIALIZED')[0]}, periods(label, lo, hi) AS (VALUES {rows}),
 in_period AS (SELECT b.* REPLACE (b.ticker || '|' || label AS ticker), label,
     count(*) OVER (PARTITION BY b.ticker, label) AS n_rows
   FROM bars b JOIN periods ON b.date BETWEEN lo AND hi),
-index_count AS (SELECT label FROM index_bars JOIN periods ON date BETWEEN lo AND hi GROUP BY 1 HAVING count(*) >= 250),
+index_count AS (SELECT label FROM index_bars JOIN periods ON date BETWEEN lo AND hi GROUP BY 1 HAVING count(*) >= {min_rows}),
 j AS MATERIALIZED (SELECT b.* EXCLUDE (label, n_rows), i.vn_close,
     row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) AS rn
   FROM in_period b JOIN index_bars i ON b.date = i.date
-  WHERE n_rows >= 250 AND label IN (SELECT label FROM index_count))"""
+  WHERE n_rows >= {min_rows} AND label IN (SELECT label FROM index_count))"""
+
+
+PERIOD_JOINED = period_joined(PERIODS)
 
 
 def frame_sql(joined: str = JOINED) -> str:
@@ -215,7 +226,7 @@ GRADE_COLUMNS = [
 GRADE_DIGITS = {**METRIC_DIGITS, "Score": 8, "Breakeven_Precision": 9, "Edge_vs_Breakeven": 9}
 
 S1 = {"baseline": "s1"}
-S3 = {"baseline": "s1", "candidate_recovery_v1": "s2", "candidate_trend_recovery_v1": "s3"}
+S3 = {"baseline": "s1", "candidate_recovery_v1": "s2", "candidate_trend_recovery_v1": "s3", "candidate_quiet_v1": "s3 / 10"}
 LABEL_GRID = [(20, 0.60, -0.40)]
 ALL_LABELS = label_setups(SETUPS)
 
