@@ -354,7 +354,9 @@ base AS (SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(c, 10) for c in ("Min_Edge", "Avg_Return")})
+    """Choices compare ten digits; the exact values stay beside them."""
+    names = ("Min_Edge", "Avg_Return")
+    return df.withColumns({f"Exact_{c}": F.col(c) for c in names} | {c: F.round(c, 10) for c in names})
 
 
 def candidates(spark, sf_dir):
@@ -370,7 +372,8 @@ FROM cand""",
 )
 def candidate_select(spark, sf_dir):
     return candidates(spark, sf_dir).select(
-        "ticker", "Profile", "Setup_ID", "Periods", "Pass_Periods", "Min_Edge", "Avg_Return", "Total_Trades"
+        "ticker", "Profile", "Setup_ID", "Periods", "Pass_Periods", F.col("Exact_Min_Edge").alias("Min_Edge"),
+        F.col("Exact_Avg_Return").alias("Avg_Return"), "Total_Trades",
     )
 
 
@@ -418,7 +421,7 @@ def baseline_comparison(spark, sf_dir):
 @query(
     "research_evidence",
     f"""WITH RECURSIVE {PERIOD_GRID} SELECT ticker, 'recovery_alias' AS Feature_Set, Pass_Periods, Min_Edge, Avg_Return FROM gs
-WHERE Feature_Set = 'candidate_recovery_v1' AND LOOKAHEAD = 20 AND TP = 0.1 AND SL = -0.07 AND THRESH = 0.5""",
+WHERE Feature_Set = 'candidate_recovery_v1' AND LOOKAHEAD = 20 AND TP = 0.1 AND SL = -0.07 AND THRESH = 0.55""",
     {"Min_Edge": 9, "Avg_Return": 8},
 )
 def research_evidence(spark, sf_dir):
@@ -426,7 +429,7 @@ def research_evidence(spark, sf_dir):
     stable = cut_lineage(grid(spark, sf_dir))
     wanted = stable.select("ticker").distinct().select(
         "ticker", F.lit("recovery_alias").alias("Feature_Set"), F.lit(20).alias("LOOKAHEAD"),
-        F.lit(0.1 + 1e-12).alias("TP"), F.lit(-0.07).alias("SL"), F.lit(0.5).alias("THRESH"),
+        F.lit(0.1 + 1e-12).alias("TP"), F.lit(-0.07).alias("SL"), F.lit(0.55).alias("THRESH"),
     )
     found = D.research_evidence(wanted, stable, ["ticker"], {"recovery_alias": "candidate_recovery_v1"})
     return found.select("ticker", "Feature_Set", "evidence.*")

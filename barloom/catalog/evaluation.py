@@ -28,7 +28,7 @@ SETUPS = K.profile_setups({**K.PROFILES, "WIDE": WIDE})
 GLOBAL = K.grid_rows("GLOBAL", K.GLOBAL_GRID)
 FIXED = [s for s in SETUPS if s["Profile"] == "SWING" and s["LOOKAHEAD"] == 20 and s["TP"] == 0.10
          and s["SL"] == -0.07 and s["THRESH"] == 0.50]
-GRID = K.grid_rows("SWING", {**K.PROFILES["SWING"], "threshold": [0.50, 0.60], "lookahead": [20, 40]})
+GRID = K.grid_rows("SWING", {**K.PROFILES["SWING"], "threshold": [0.55, 0.60, 0.65, 0.70]})
 PERIODS = [
     ("P1", "1995-01-01", "1996-12-31"),
     ("P2", "1997-01-01", "1998-12-31"),
