@@ -27,6 +27,7 @@ STOP_WORDS = (
     "als am auf das dem den der die ein eine im ist mit nicht sich sie und von zu "
     "al con del el ella es esta las lo los no para por se su y"
 ).split()
+LONGEST_STOP_WORD = max(map(len, STOP_WORDS))
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,9 @@ MORE_COUNTS = ("n_stop_words", "n_upper_words", "n_letter_words", "n_exclamation
 
 
 def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
-    """Words in windows of ``window`` words that are found twice or more in the text."""
+    """Words in windows of ``window`` words, a power of two, that are found twice or more in the text."""
+    if window & (window - 1):
+        raise ValueError("the window must be a power of two")
 
     def covered(starts: Column) -> Column:
         gaps = F.zip_with(F.slice(starts, F.lit(2), F.size(starts) - 1), F.slice(starts, F.lit(1), F.size(starts) - 1), lambda a, b: a - b)
@@ -80,7 +83,14 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
         # most texts repeat no window and skip the sort
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(let(seen, starts), covered))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(window))))
+    def wider(step: int):
+        # a window's hash from those of its two halves, so that a word is hashed once; beyond the end, of one alone
+        return lambda h: F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
+    for power in range(window.bit_length() - 1):
+        hashes = let(hashes, wider(2**power))
+    hashes = F.slice(hashes, F.lit(1), F.size(tokens) - window + 1)
     return F.when(F.size(tokens) >= window, let(hashes, count)).otherwise(F.lit(0)).cast("long")
 
 
@@ -99,7 +109,7 @@ def counted(docs: DataFrame) -> DataFrame:
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(tokens).alias("n_repeat_words"),
-        count(lambda w: ascii_lower(w).isin(STOP_WORDS)).alias("n_stop_words"),
+        count(lambda w: (F.length(w) <= LONGEST_STOP_WORD) & ascii_lower(w).isin(STOP_WORDS)).alias("n_stop_words"),
         count(lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w))).alias("n_upper_words"),
         count(lambda w: F.upper(w) != F.lower(w)).alias("n_letter_words"),
         (F.length(body) - F.length(F.translate(body, "!", ""))).cast("long").alias("n_exclamations"),
