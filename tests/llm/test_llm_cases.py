@@ -198,3 +198,19 @@ def test_urls(pages):
     assert len(rows) == 10 and rows[4]["rule"] == "example.com/en/" and rows[4]["host"] == "x.example.com" and rows[5]["path"] == ""
     assert rows[0]["host"] == "" and rows[6]["verdict"] == "block"
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_repeated_words_of_the_classifier_equal_brute_force():
+    import random
+
+    from barloom.llm.text_features import describe, repeated_words
+
+    draw = random.Random(5)
+    for size in (0, 7, 8, 9, 40, 300):
+        words = [draw.choice("ab") for _ in range(size)] + [f"w{draw.randrange(60)}" for _ in range(size)]
+        words += words[3 : 3 + size // 3]
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+        assert repeated_words(words) == len(covered)
+    assert describe(None) == describe("") and set(describe("")[:4]) == {0.0}
+    assert all(0 <= x <= 1 for text in ("A! #", "x " * 50, "\n\n", "é" * 9000) for x in describe(text))
