@@ -1,7 +1,7 @@
 """Packing documents into as few sequences as possible by a grouping genetic algorithm on islands.
 
-Documents are tokenised and cut into pieces of at most ``capacity`` ids. Full pieces are sequences of their
-own. The others are dealt to cells of ``CELL`` pieces as they are read. For each cell several islands evolve
+Documents are tokenised and cut into pieces of ``capacity`` ids, of which only a document's first may be
+shorter. Full pieces are sequences of their own. The others are dealt to cells of ``CELL`` pieces as they are read. For each cell several islands evolve
 a population of packings: crossover injects whole well-filled bins, dissolves the bins that hold a
 piece twice, and adds displaced pieces by best fit. Between epochs the best packings of each island migrate
 to the next. A cell whose packing reaches the lower bound is proven best and stops at once. Bins that a
@@ -54,7 +54,7 @@ def pieces_of(vocabulary: str, capacity: int):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text)
-                for piece, (start, length) in enumerate(T.cut(len(ids), capacity)):
+                for piece, (start, length) in enumerate(T.cut_short_first(len(ids), capacity)):
                     row = [doc_id, piece, start, length, T.crc(ids[start : start + length])]
                     if length == capacity:
                         rows.append([*row, None, None, (partition * PER_PARTITION * CELL + full) * 4 + 3])

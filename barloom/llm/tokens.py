@@ -45,5 +45,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(at, min(capacity, n - at)) for at in range(0, n, capacity)]
 
 
+def cut_short_first(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of ``n`` ids, of which only the first may be shorter than ``capacity``."""
+    head = n % capacity or min(capacity, n)
+    return [(0, head), *((at, capacity) for at in range(head, n, capacity))] if n else []
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())

@@ -122,6 +122,21 @@ def test_pack_and_matrix(docs):
     assert matrix.n_tokens.sum() == rows.length.sum()
 
 
+def test_only_the_first_piece_of_a_document_is_short(spark):
+    from barloom.llm.packing import CAPACITY
+    from barloom.llm.tokens import Encoder, crc
+
+    texts = {1: "lorem ipsum dolor " * 1700, 2: "short", 3: " a" * (2 * CAPACITY - 1), 4: " a" * (CAPACITY - 1)}
+    found = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
+    assert len(Encoder()(texts[1])) % CAPACITY and len(Encoder()(texts[3])) == 2 * CAPACITY
+    for doc_id, pieces in found.sort_values("piece").groupby("doc_id"):
+        ids = Encoder()(texts[doc_id])
+        assert pieces.piece.tolist() == list(range(-(-len(ids) // CAPACITY)))
+        assert pieces.length.tolist()[0] == (len(ids) % CAPACITY or CAPACITY) and (pieces.length[1:] == CAPACITY).all()
+        assert pieces.start.tolist() == (pieces.length.cumsum() - pieces.length).tolist()
+        assert [crc(ids[a : a + n]) for a, n in zip(pieces.start, pieces.length)] == pieces.ids_crc32.tolist()
+
+
 def test_genetic_search_never_loses_items():
     import numpy as np
 
