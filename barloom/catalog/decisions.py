@@ -13,7 +13,7 @@ from barloom.catalog.evaluation import (
 from barloom.operators import decide as D
 from barloom.operators import stability as S
 from barloom.operators.labels import latest_complete
-from barloom.operators.registry import feature_health
+from barloom.operators.registry import feature_health, feature_sets
 from barloom.plans import search, signal
 from barloom.plans import walkforward as W
 from barloom.session import cut_lineage
@@ -483,20 +483,24 @@ def radar_summary(spark, sf_dir):
     )
 
 
-MODEL_COLUMNS = ["Log_Return", "RSI_14", "Drawdown_60", "ER_10", "BB_Position", "Volume_Ratio_20"]
+# the published production candidate: 34 features
+MODEL_SET = "candidate_cost_resilient_recovery_no_noise_v1"
+MODEL_COLUMNS = feature_sets()[MODEL_SET]
+
+
+def model_signals(spark, sf_dir, **options):
+    features = feature_frame(spark, sf_dir, columns=MODEL_COLUMNS)
+    return signal.latest_signals(features, MODEL_COLUMNS, FIXED[0], MODEL_SET, "SWING", **options)
 
 
 @query("gbt_signal")
 def gbt_signal(spark, sf_dir):
-    """Latest nested signal rows from a boosted-tree panel model (few trees: a demonstration size)."""
-    features = feature_frame(spark, sf_dir, columns=MODEL_COLUMNS)
-    return signal.latest_signals(
-        features, MODEL_COLUMNS, FIXED[0], "demonstration", "SWING", trees=3, depth=3
-    ).select("ticker", F.to_json(F.struct("*")).alias("payload"))
+    """Latest nested signal rows from a boosted-tree panel model of the published size."""
+    return model_signals(spark, sf_dir).select("ticker", F.to_json(F.struct("*")).alias("payload"))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    features = feature_frame(spark, sf_dir, columns=MODEL_COLUMNS)
-    rows = signal.latest_signals(features, MODEL_COLUMNS, FIXED[0], "demonstration", "SWING", trees=3, depth=3)
+    """The importance of every feature, not only of the ten that a signal row names."""
+    rows = model_signals(spark, sf_dir, top=len(MODEL_COLUMNS))
     return rows.select(F.inline("top_model_features")).distinct()

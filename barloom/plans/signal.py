@@ -9,6 +9,7 @@ from barloom import contracts as K
 from barloom.functions import rules as R
 from barloom.operators import model as M
 from barloom.operators.labels import complete_rows, label_frame, latest_complete, training_rows
+from barloom.session import cut_lineage
 
 KEYS = ["ticker"]
 
@@ -36,11 +37,11 @@ def latest_signals(
     candidate_name: str = "", evidence: DataFrame | None = None, top: int = 10, **model_options,
 ) -> DataFrame:
     """Train on labeled rows before each ticker's latest complete row, score that row, decide, and
-    return one nested row per ticker."""
+    return one nested row per ticker with enough labeled rows of both classes."""
     usable = complete_rows(columns)
-    latest = latest_complete(features, KEYS, usable, columns)
+    latest = cut_lineage(latest_complete(features, KEYS, usable, columns))
     grid = [(setup["LOOKAHEAD"], setup["TP"], setup["SL"])]
-    train = training_rows(label_frame(features, KEYS, grid, usable, columns), latest, KEYS)
+    train = cut_lineage(training_rows(label_frame(features, KEYS, grid, usable, columns), latest, KEYS))
     counts = train.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("training_rows"), F.sum("Target").alias("positives")
     )
@@ -48,15 +49,20 @@ def latest_signals(
         (F.col("training_rows") >= K.MIN_LABELED_ROWS)
         & (F.col("positives") > 0) & (F.col("positives") < F.col("training_rows"))
     )
-    model = M.fit(train.join(trainable.select(*KEYS), KEYS, "left_semi"), columns, **model_options)
-    scored = M.probability(model, latest).withColumnRenamed("score", "probability").join(trainable, KEYS)
+    if trainable.isEmpty():
+        scored, ranked = latest.withColumn("probability", F.lit(None).cast("double")), []
+    else:
+        model = M.fit(train.join(trainable.select(*KEYS), KEYS, "left_semi"), columns, **model_options)
+        scored = M.probability(model, latest).withColumnRenamed("score", "probability")
+        ranked = M.top_features(model, columns, top)
+    scored = scored.join(trainable, KEYS)
     decided = decide(scored, setup, cost, min_edge, watch_margin)
     importance = F.array(
         *[
             F.struct(F.lit(i).alias("rank"), F.lit(n).alias("feature"), F.lit(v).alias("importance"))
-            for i, n, v in M.top_features(model, columns, top)
+            for i, n, v in ranked
         ]
-    )
+    ).cast("array<struct<rank:int,feature:string,importance:double>>")
     return payload(decided, setup, feature_set, profile, candidate_name, cost, min_edge, len(columns), importance, evidence)
 
 
