@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom import contracts as K
-from barloom.catalog.base import RETURNS, feature_frame, query, roll
+from barloom.catalog import features as _families, statements as _statements  # noqa: F401  (their SQL is read below)
+from barloom.catalog.base import BARS, QUERIES, RETURNS, feature_frame, query, roll
 from barloom.catalog.evaluation import (
     DIAGNOSED, FIXED, GRADE_COLUMNS, GRADE_DIGITS, GRADE_SQL, GRID, KEYS, PERIOD_JOINED, S1, S3, best_sql, complete,
     SHORT_PERIODS, SHORT_ROWS, frame, frame_sql, graded_sql, metrics, period_joined, periods_frame, scores,
@@ -13,7 +14,8 @@ from barloom.catalog.evaluation import (
 from barloom.operators import decide as D
 from barloom.operators import stability as S
 from barloom.operators.labels import latest_complete
-from barloom.operators.registry import feature_health, feature_sets
+from barloom.operators.registry import VALUATION, feature_health, feature_sets
+from barloom.operators.valuation import merge_valuation
 from barloom.plans import search, signal
 from barloom.plans import walkforward as W
 from barloom.session import cut_lineage
@@ -50,6 +52,53 @@ def feature_health_query(spark, sf_dir):
     return feature_health(feature_frame(spark, sf_dir, columns=names), KEYS, HEALTH_SETS)
 
 
+REGISTRY = feature_sets()
+REGISTERED = list(dict.fromkeys(c for columns in REGISTRY.values() for c in columns))
+_FAMILIES = [
+    "log_return", "rsi_14", "ema_structure", "macd_hist", "bollinger", "volatility", "relative_strength", "foreign_flow",
+    "momentum_family", "trend_quality", "volume_family", "recovery_family", "recovery_quality", "liquidity_cost", "noise_filter",
+]
+_JOINED = " ".join(f"LEFT JOIN ({QUERIES[n].sql}) {n} ON {n}.ticker = b.ticker AND {n}.date = b.date" for n in _FAMILIES) + " ".join(
+    f" LEFT JOIN ({QUERIES[n].sql}) {n} ON {n}.ticker = upper(b.ticker) AND {n}.date = b.date" for n in ("valuation_ratios", "pb_percentile")
+)
+#: rolling means and deviations of equal windows differ in the last bits, which are no distinct values
+NOISY = [
+    "RS_Trend", "Foreign_Mutation", "Volatility", "VN_Volatility", "Volatility_Z_60", "Downside_Volatility_20", "Dist_BB_Upper",
+    "Dist_BB_Lower", "BB_Position", "Momentum_Dropoff_Z_14", "Dollar_Volume_Z_60", "PB_Z_756",
+]
+NOISE_DIGITS = 9
+
+
+def _column(name: str) -> str:
+    value = "b.volume" if name == "Volume" else f"CAST({name} AS double)"
+    return f'round({value}, {NOISE_DIGITS}) AS "{name}"' if name in NOISY else f'{value} AS "{name}"'
+
+
+_MEMBERS = ", ".join(f"('{name}', '{c}')" for name, columns in REGISTRY.items() for c in columns)
+
+
+@query(
+    "feature_health_registry",
+    f"""WITH {BARS}, v AS MATERIALIZED (SELECT b.ticker, {', '.join(map(_column, REGISTERED))}
+  FROM (SELECT ticker, date, volume FROM bars) b {_JOINED}),
+long AS (SELECT ticker, Feature, value FROM v UNPIVOT INCLUDE NULLS (value FOR Feature IN ({', '.join(f'"{c}"' for c in REGISTERED)})) u),
+stats AS (SELECT ticker, Feature, 1.0::double - count(value) / CAST(count(*) AS double) AS miss, count(DISTINCT value) AS uniq,
+    avg(value) AS mean, stddev_samp(value) AS sd FROM long GROUP BY 1, 2),
+sets(fs, Feature) AS (VALUES {_MEMBERS})
+SELECT ticker, fs AS Feature_Set, Feature, miss AS Missing_Pct, uniq AS Unique_Count, mean AS Mean, sd AS Std,
+  uniq <= 1 OR sd IS NULL OR sd = 0 AS Zero_Variance, CASE
+    WHEN uniq <= 1 OR sd IS NULL OR sd = 0 THEN 'zero_variance' WHEN miss > 0.3 THEN 'high_missing' ELSE 'ok' END AS Status
+FROM stats JOIN sets USING (Feature)""",
+    {"Missing_Pct": 9, "Mean": 3, "Std": 2},
+)
+def feature_health_registry(spark, sf_dir):
+    """Every feature of the registry's 25 sets, valuation included; ``NOISY`` ones at nine decimals."""
+    left = feature_frame(spark, sf_dir, columns=REGISTERED).withColumn("shown", F.col("ticker")).withColumn("ticker", F.upper("ticker"))
+    wide = merge_valuation(left, _statements.valuation(spark, sf_dir), VALUATION)
+    rounded = {c: F.round(c, NOISE_DIGITS) for c in NOISY}
+    return feature_health(wide.withColumns({"ticker": F.col("shown"), **rounded}), KEYS, REGISTRY)
+
+
 # ---- experiments ---------------------------------------------------------------------------------
 
 

@@ -69,3 +69,14 @@ def test_profile_grids():
     first = K.grid_rows("FAST_SWING", K.PROFILES["FAST_SWING"])[:6]
     assert [s["THRESH"] for s in first] == [0.5, 0.55, 0.6, 0.65, 0.7, 0.5]
     assert first[5]["SL"] == -0.05 and first[5]["Grid_Ordinal"] == 6
+
+
+def test_registered_health_covers_every_set(spark, small_sf):
+    from barloom.catalog import QUERIES
+    from check_oracle import compare, connect
+
+    q = QUERIES["feature_health_registry"]
+    got = q.run(spark, small_sf).toPandas()
+    assert got.groupby("Feature_Set").Feature.nunique().to_dict() == SIZES
+    assert got.Feature.nunique() == 55 and "missing_column" not in set(got.Status)
+    assert compare(got, connect(small_sf).execute(q.oracle()).df()) == "ok"
