@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.llm import (
-    exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, token_matrix, url_filter,
+    exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, resampling, sentence_pieces, sharding, spelling,
+    token_matrix, url_filter,
 )
 
 
@@ -53,6 +54,18 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), damage=spelling.DAMAGE)
+
+
+def op12_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
@@ -64,4 +77,7 @@ LLM_QUERIES = {
     "op8_mixing": (op8_mixing, mixing.SQL),
     "op9_token_matrix": (op9_token_matrix, None),
     "op10_url_filter": (op10_url_filter, None),
+    "op11_spelling_variants": (op11_spelling_variants, None),
+    "op12_sentence_pieces": (op12_sentence_pieces, None),
+    "op13_resampling": (op13_resampling, None),
 }
