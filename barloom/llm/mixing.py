@@ -77,8 +77,8 @@ def ranked(rows: DataFrame) -> DataFrame:
     ).withColumn("rank", F.col("before") + F.col("local")).drop("b_source", "b_block", "before", "local", "block")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, print, size, source_size, target, copies, taken."""
+def planned(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row per document: doc_id, print, source, size, source_size, target, copies, taken."""
     rows = ranked(docs.select("doc_id", F.xxhash64(whole("text")).alias("print"), "source", n_words(whole("text")).alias("size")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "t_source")
@@ -86,14 +86,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     return rows.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).withColumn(
         "copies", F.least(crossed, F.ceil("rate"))
     ).select(
-        "doc_id", "print", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        "doc_id", "print", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, print, size, source_size, target, copies, taken."""
+    return planned(docs, **options).drop("source")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it was drawn, with all its columns."""
-    drawn = mix(docs, **options).groupBy("doc_id", "print").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    return apply_decisions(docs, drawn).select(
+    """The mix itself: every document as often as it was drawn, with all its columns. Rows that share id and text
+    but not the source are drawn for their own source."""
+    drawn = planned(docs, **options).groupBy("doc_id", "print", "source").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    return apply_decisions(docs, drawn, ("source",)).select(
         "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     ).select("row.*")
 

@@ -207,8 +207,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, print, n_shingles, component_id, kept."""
+def decided(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, print, n_shingles, label, component_id, kept. ``label`` is the component's
+    number, null for documents without words."""
     signed = written(bodies(docs).mapInArrow(
         signatures_of, "doc_id long, print long, n_shingles long, class binary, tokens array<bigint>"
     ), "signatures")
@@ -236,15 +237,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = classes.select("node", "rep.doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(smallest, "label").select("node", "component_id")
+    ids = named.join(smallest, "label").select("node", "label", "component_id")
     found = members.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
-        "doc_id", "print", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "print", "n_shingles", "label", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, print, n_shingles, component_id, kept."""
+    return decided(docs).drop("label")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; one of each component."""
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.min("print").alias("print"))
-    return apply_decisions(docs, kept).select("row.*")
+    """The documents that stay, with all their columns; one of each component, whether it has ids or not.
+    Documents without words stay, rows that repeat one with id and text once."""
+    kept = decided(docs).where("kept")
+    named = kept.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "print")).alias("one")).select("one.*")
+    empty = kept.where("label is null").select("doc_id", "print").distinct()
+    return apply_decisions(docs, named.union(empty)).select("row.*")

@@ -127,9 +127,11 @@ def pack_cells(items: DataFrame, capacity: int, level: int, keep: float, **searc
         "cell", F.transform("held", lambda x: x["length"].cast("int")).alias("lengths"),
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
     )
+    # a row is seconds of work: with a number of partitions the planner does not join them; beyond that number they hold several rows
+    rows = items.select("cell").distinct().count() * islands
+    tasks = max(1, min(rows, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
     packings = written(
-        # a row is seconds of work
-        cells.repartition("cell", "island").mapInPandas(settle(capacity, islands, search["population"], generations, search["elites"]), PACKINGS),
+        cells.repartition(tasks, "cell", "island").mapInPandas(settle(capacity, islands, search["population"], generations, search["elites"]), PACKINGS),
         "packings",
     )
     better = packings.groupBy("cell", "island").applyInPandas(resettle(capacity, generations), PACKINGS)

@@ -24,6 +24,13 @@ from pyspark.sql import functions as F
 
 from barloom.llm.text import let, running_total, whole
 
+#: fixed values: characters of an IBAN by country code
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB NI PL SV",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 THRESHOLD = 0.7
 CONTEXT_CHARS = 24
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double,value:string>>"
@@ -82,6 +89,17 @@ class Kind:
     hint: str | None = None  # text without it has no match
 
 
+def iban_pattern() -> str:
+    """Of each country as many characters as its numbers have, in groups of four, so that no word after a
+    number is taken for a part of it."""
+    def shape(length: int, countries: str) -> str:
+        groups, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+
+    return "(?:" + "|".join(shape(n, c) for n, c in IBAN_LENGTHS.items()) + ")"
+
+
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", None, True, 0.8, 0.2, "mail|contact|write", "@"),
@@ -91,8 +109,7 @@ KINDS = (
          r"[0-9](?:[ -]?[0-9])+", card, True, 0.7, 0.3, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]",
          r"\+[0-9][ ().0-9-]+[0-9]", phone, True, 0.6, 0.3, "phone|call|tel|mobile", "+"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-         r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", mod97, False, 0.8, 0.2, "iban|account|bank|konto"),
+    Kind("iban", iban_pattern(), iban_pattern(), mod97, False, 0.8, 0.2, "iban|account|bank|konto"),
     Kind("secret", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}+",
          r"[0-9A-Fa-f]{32,}", None, False, 0.4, 0.4, "token|secret|key|password|credential"),
 )

@@ -63,12 +63,18 @@ def keys(text: str = "text") -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(whole(text)).alias("print")]
 
 
-def apply_decisions(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
+def apply_decisions(docs: DataFrame, decisions: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``docs`` with what was decided on their key, as columns (row, *decisions). Repeats of a
     row meet in one row first, so that no repeat multiplies another; ``decisions`` must have one row
-    per (doc_id, print). Whatever columns ``docs`` has stay inside ``row``."""
-    held = docs.select(*[k.alias(n) for k, n in zip(keys(), ("k_id", "k_print"))], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    held = held.dropDuplicates(["k_id", "k_print"])
-    named = decisions.withColumnsRenamed({"doc_id": "d_id", "print": "d_print"})
-    same = F.col("k_id").eqNullSafe(F.col("d_id")) & (F.col("k_print") == F.col("d_print"))
-    return held.join(named, same, how).drop("k_id", "k_print", "d_id", "d_print")
+    per (doc_id, print) and the text columns ``also``. Whatever columns ``docs`` has stay inside ``row``.
+
+    The keys are plain, without nulls, so that the repeats and the join share one shuffle of the rows."""
+    parts = {"k_print": "print", "k_id": F.coalesce("doc_id", F.lit(0)), "k_no_id": F.col("doc_id").isNull()}
+    for n, c in enumerate(also):
+        parts |= {f"k_{n}": F.coalesce(c, F.lit("")), f"k_no_{n}": F.col(c).isNull()}
+    held = docs.select(
+        *[(F.xxhash64(whole("text")) if name == "k_print" else part).alias(name) for name, part in parts.items()],
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    ).dropDuplicates(list(parts))
+    named = decisions.withColumns({name: F.col(part) if name == "k_print" else part for name, part in parts.items()}).drop("doc_id", "print", *also)
+    return held.join(named, list(parts)).drop(*parts)

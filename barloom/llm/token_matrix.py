@@ -6,8 +6,8 @@ the least room that suffices, emits the rows that are full enough and takes the
 the next buffer. The least sufficient room is found in a segment tree that counts the open rows by room.
 
 A row of the result is a row of the matrix: ids padded with ``PAD`` to ``width``, cumulative segment lengths,
-positions that restart at 0 with each segment, and where each segment comes from, so that ``restore``
-gives back every document's ids.
+positions that restart at 0 with each segment, and where each segment comes from: doc_id, piece, start, and a
+number of the document's row (task, row), by which ``restore`` gives back every row's ids.
 
 How it scales: one map over documents; nothing is shuffled, and a task holds one buffer, whatever the
 partition's size. A task repeated after a loss reads the same rows and gives the same result.
@@ -36,7 +36,7 @@ PAD = 0
 
 SCHEMA = (
     "sequence_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, position_ids array<int>, "
-    "doc_ids array<bigint>, pieces array<int>, starts array<bigint>"
+    "doc_ids array<bigint>, pieces array<int>, starts array<bigint>, rows array<bigint>"
 )
 
 
@@ -92,26 +92,26 @@ def matrix_row(number: int, held, width: int):
     ids = np.full(width, PAD, np.int32)
     positions = np.zeros(width, np.int32)
     at, edges = 0, [0]
-    for _, _, _, piece in held:
+    for *_, piece in held:
         ids[at : at + len(piece)] = piece
         positions[at : at + len(piece)] = np.arange(len(piece))
         at += len(piece)
         edges.append(at)
-    return number, at, ids, edges, positions, [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]
+    return number, at, ids, edges, positions, *([h[k] for h in held] for k in range(4))
 
 
 def matrices_of(vocabulary: str, width: int, buffer: int, full: float):
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
         encode, partition = T.Encoder(vocabulary), TaskContext.get().partitionId()
-        number, held = partition << 40, []
+        number, row, held = partition << 40, partition << 40, []
 
         def packed(last: bool):
             nonlocal number, held
-            rows = [[held[i] for i in row] for row in best_fit_decreasing([len(h[3]) for h in held], width)]
-            ready = [r for r in rows if last or sum(len(h[3]) for h in r) >= full * width]
+            rows = [[held[i] for i in row] for row in best_fit_decreasing([len(h[-1]) for h in held], width)]
+            ready = [r for r in rows if last or sum(len(h[-1]) for h in r) >= full * width]
             if not last and len(ready) < len(rows) // 2:  # pieces that fill no row must not pile up
                 ready = rows
             out = {id(r) for r in ready}
@@ -124,7 +124,8 @@ def matrices_of(vocabulary: str, width: int, buffer: int, full: float):
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text)
-                held += [(doc_id, n, start, ids[start : start + length]) for n, (start, length) in enumerate(T.cut(len(ids), width))]
+                row += 1
+                held += [(doc_id, n, start, row, ids[start : start + length]) for n, (start, length) in enumerate(T.cut(len(ids), width))]
                 if len(held) >= buffer:
                     yield from packed(last=False)
         if held:
@@ -143,11 +144,11 @@ def write_matrix(docs: DataFrame, path: str, **options) -> None:
 
 
 def restore(matrix: DataFrame) -> DataFrame:
-    """(doc_id, ids): every document's ids again, without the END. Repeated documents come out once."""
-    pieces = matrix.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "pieces", "starts")).alias("k", "p")).select(
-        F.col("p.doc_ids").alias("doc_id"), F.col("p.pieces").alias("piece"),
+    """(doc_id, ids): the ids of every document row again, without the END; rows that share an id come out apart."""
+    pieces = matrix.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "pieces", "rows")).alias("k", "p")).select(
+        F.col("p.rows").alias("row"), F.col("p.doc_ids").alias("doc_id"), F.col("p.pieces").alias("piece"),
         F.slice("ids", F.col("cu_seqlens")[F.col("k")] + 1, F.col("cu_seqlens")[F.col("k") + 1] - F.col("cu_seqlens")[F.col("k")]).alias("part"),
-    ).dropDuplicates(["doc_id", "piece"])
-    whole = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "part"))).alias("parts"))
+    )
+    whole = pieces.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "part"))).alias("parts"))
     ids = F.flatten(F.transform("parts", lambda p: p["part"]))
     return whole.select("doc_id", ids.alias("ids")).select("doc_id", F.slice("ids", F.lit(1), F.size("ids") - 1).alias("ids"))

@@ -7,7 +7,7 @@ of blocked ones among the labelled. Where no other labels are given, the URLs th
 ones, and the trees carry the rules over to hosts that they do not name.
 
 How it scales: rules are a literal expression, features a projection; training takes at most about ``SAMPLE``
-labelled URLs, drawn by a hash of the URL; suffix statistics are aggregates over all URLs, joined without
+different labelled URLs, drawn by a hash of the URL, and a tenth of that at least of the rarer label; suffix statistics are aggregates over all URLs, joined without
 a hint, so a frequent suffix is left to the skew join of the adaptive planner. Scoring is a map.
 
 Null URLs and URLs without ``://`` have an empty host and path, no rule fits, and the trees judge them like
@@ -115,12 +115,17 @@ def with_suffix_statistics(urls: DataFrame) -> DataFrame:
 
 def fit(urls: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH):
     """Trees from the rows whose ``label`` (1: block) is not null; None without both labels."""
-    known = urls.where("label is not null")
+    # a URL once, however many pages it has
+    known = urls.where("label is not null").groupBy("url", "label").agg(*[F.first(c).alias(c) for c in NUMBERS])
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    share = min(1.0, sample / sum(counts.values()))
-    chosen = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # of each label its part of the sample, but never less than a tenth of it
+    share = {
+        label: min(1.0, max(sample * n / sum(counts.values()), sample / 10) / n) for label, n in counts.items()
+    }
+    place = F.shiftrightunsigned(F.xxhash64("url"), 11) / float(1 << 53)
+    chosen = known.where(place < F.when(F.col("label") == 1, share.get(1.0, 0.0)).otherwise(share.get(0.0, 0.0)))
     rows = VectorAssembler(inputCols=list(NUMBERS), outputCol="features").transform(chosen).select("features", "label")
     return GBTClassifier(maxIter=trees, maxDepth=depth, seed=1).fit(written(rows, "labelled-urls"))
 

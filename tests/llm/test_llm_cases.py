@@ -229,3 +229,95 @@ def test_repeated_words_of_the_classifier_equal_brute_force():
         assert repeated_words(words) == len(covered)
     assert describe(None) == describe("") and set(describe("")[:4]) == {0.0}
     assert all(0 <= x <= 1 for text in ("A! #", "x " * 50, "\n\n", "é" * 9000) for x in describe(text))
+
+
+def test_no_rows_are_lost_with_shared_or_missing_ids(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, words(1)), (None, words(2)), (None, words(3)), (7, words(4)), (7, words(5)), (None, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    # rows that share an id are one document; unrelated ones without an id all stay
+    assert sorted(r["text"] or "" for r in kept if r["doc_id"] != 7) == sorted(["", "", words(1), words(2), words(3)])
+    assert sum(r["doc_id"] == 7 for r in kept) == 1
+    # copies without an id are one, a named copy comes first
+    again = near_dedup.drop_near_duplicates(spark.createDataFrame([(None, words(1)), (None, words(1)), (3, words(1) + " end")], "doc_id long, text string"))
+    assert [r["doc_id"] for r in again.collect()] == [3]
+
+
+def test_matrix_restores_rows_that_share_an_id(spark):
+    from barloom.llm.tokens import Encoder
+
+    rows = [(1, "first text"), (1, "another one " * 900), (None, "no id"), (None, "no id"), (2, None)]
+    matrix = token_matrix.token_matrix(spark.createDataFrame(rows, "doc_id long, text string"), buffer=2)
+    found = sorted(((r["doc_id"] or 0, r["ids"]) for r in token_matrix.restore(matrix).collect()))
+    assert found == sorted((d or 0, Encoder()(t)[:-1].tolist()) for d, t in rows)
+
+
+def test_write_matrix(spark, docs, tmp_path):
+    token_matrix.write_matrix(docs, str(tmp_path / "matrix"))
+    held = spark.read.parquet(str(tmp_path / "matrix"))
+    assert token_matrix.restore(held).count() == len(ROWS)
+    assert {len(r["ids"]) for r in held.collect()} == {token_matrix.WIDTH}
+
+
+def test_mixed_rows_stay_with_their_source(spark):
+    rows = [(1, "one two", "a"), (1, "one two", "b"), (2, "three", None), (2, "three", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixing.planned(docs, weights=(1,), share=1.5).groupBy("source").agg(F.sum("copies").alias("n"))
+    drawn = mixing.mixed_documents(docs, weights=(1,), share=1.5).groupBy("source").agg(F.count("*").alias("n"))
+    assert {r["source"]: r["n"] for r in drawn.collect()} == {r["source"]: r["n"] for r in planned.collect() if r["n"]}
+
+
+def test_empty_tables_of_filters(docs, labels):
+    none = docs.limit(0)
+    assert quality_classifier.keep_good(none, labels).count() == 0
+    assert mixing.mixed_documents(none).count() == 0
+    assert near_dedup.drop_near_duplicates(none).count() == exact_dedup.drop_exact_duplicates(none).count() == 0
+
+
+def test_numbers_before_upper_case_words(spark):
+    texts = {
+        1: "iban ES9121000418450200051332 BIC", 2: "iban AT611904300234573201 BIC", 3: "konto BE68 5390 0754 7034 KBC",
+        4: "bank DE89370400440532013000 BIC", 5: "iban NO9386011117947 X", 6: "iban ZZ9386011117947",
+    }
+    docs = spark.createDataFrame([*texts.items(), (6, texts[6])], "doc_id long, text string").withColumns(
+        {c: F.lit(c) for c in ("body", "iban", "spans")})
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}
+    assert [found[k] for k in range(1, 7)] == ["iban:5:29", "iban:5:25", "iban:6:25", "iban:5:27", "iban:5:20", ""]
+
+
+def test_url_sample_is_bounded_by_urls_and_keeps_the_rarer_label(spark, monkeypatch):
+    hot = [(i, "http://hot.org/a") for i in range(500)]
+    some = [(1000 + i, f"http://h{i}.org/x{i}") for i in range(300)] + [(2000 + i, f"http://bad{i}.net/es/") for i in range(6)]
+    pages = spark.createDataFrame(hot + some, "page_id long, url string")
+    labels = spark.createDataFrame(
+        [("http://hot.org/a", 0)] + [(u, int("net" in u)) for _, u in some], "url string, label int")
+    seen = []
+    plain = url_filter.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "labelled-urls":
+            seen.append({r["label"]: r["count"] for r in out.groupBy("label").count().collect()})
+        return out
+
+    monkeypatch.setattr(url_filter, "written", counted)
+    rows = url_filter.judge(pages, labels, rules=(), sample=100, trees=3, depth=2).collect()
+    assert len(rows) == len(hot) + len(some)
+    assert seen[0][1.0] == 6 and 60 < seen[0][0.0] < 140
+
+
+def test_pipeline_over_odd_rows(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} <= {r[0] for r in ROWS} and packed
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "empty" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
