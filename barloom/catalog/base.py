@@ -21,28 +21,36 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
     digits: dict[str, int] = field(default_factory=dict)
+    #: digits after the first one; for sums of any size, whose last bits depend on the order of summing
+    significant: dict[str, int] = field(default_factory=dict)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
         # + 0.0 turns -0.0 into 0.0
         rounded = {c: F.round(c, n) + F.lit(0.0) for c, n in self.digits.items()}
+        rounded |= {
+            c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}e", F.col(c))).cast("double") + F.lit(0.0)
+            for c, n in self.significant.items()
+        }
         return df.select(*[rounded[c].alias(c) if c in rounded else F.col(c) for c in df.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        if not self.digits:
+        swaps = [f"round({c}, {n}) + 0.0 AS {c}" for c, n in self.digits.items()]
+        swaps += [f"CAST(printf('%.{n}e', {c}) AS double) + 0.0 AS {c}" for c, n in self.significant.items()]
+        if not swaps:
             return self.sql
-        swaps = ", ".join(f"round({c}, {n}) + 0.0 AS {c}" for c, n in self.digits.items())
+        swaps = ", ".join(swaps)
         return f"SELECT * REPLACE ({swaps}) FROM ({self.sql}) answer"
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, digits: dict[str, int] | None = None):
+def query(name: str, sql: str | None = None, digits: dict[str, int] | None = None, significant: dict[str, int] | None = None):
     def register(build):
-        QUERIES[name] = Query(name, build, sql, digits or {})
+        QUERIES[name] = Query(name, build, sql, digits or {}, significant or {})
         return build
 
     return register

@@ -89,7 +89,8 @@ SELECT ticker, fs AS Feature_Set, Feature, miss AS Missing_Pct, uniq AS Unique_C
   uniq <= 1 OR sd IS NULL OR sd = 0 AS Zero_Variance, CASE
     WHEN uniq <= 1 OR sd IS NULL OR sd = 0 THEN 'zero_variance' WHEN miss > 0.3 THEN 'high_missing' ELSE 'ok' END AS Status
 FROM stats JOIN sets USING (Feature)""",
-    {"Missing_Pct": 9, "Mean": 3, "Std": 2},
+    {"Missing_Pct": 9},
+    {"Mean": 6, "Std": 6},
 )
 def feature_health_registry(spark, sf_dir):
     """Every feature of the registry's 25 sets, valuation included; ``NOISY`` ones at nine decimals."""
@@ -212,7 +213,7 @@ def summary_view(spark, sf_dir):
 @query(
     "risk_view",
     f"""WITH RECURSIVE {EXPERIMENTS} SELECT ticker AS Ticker, profile AS Profile, fs AS Feature, {_MODE} AS Mode,
-  printf('%.2f%%', Validation_Precision * 100) AS "Precision", printf('%.2f%%', be * 100) AS BE,
+  coalesce(printf('%.2f%%', Validation_Precision * 100), '') AS "Precision", coalesce(printf('%.2f%%', be * 100), '') AS BE,
   coalesce(printf('%.2f%%', edge * 100), '') AS Edge, coalesce(printf('%.2f', Avg_Holding_Days), '') AS HoldD,
   coalesce(printf('%.2f%%', Timeout_Rate * 100), '') AS Timeout, CAST(CAST(trades_n AS bigint) AS varchar) AS Trades FROM res""",
 )

@@ -27,6 +27,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+#: no text of a table is this one, so that a null differs from an empty text
+NULL = "<null>"
+
+
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame(index=df.index)
     for c in sorted(df.columns):
@@ -39,7 +43,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
             col = col.map(lambda x: None if x is None else str(bool(x)))
         elif pd.api.types.is_numeric_dtype(col):
             col = col.astype("float64")
-        out[c] = col.where(col.notna(), None).map(lambda x: "" if x is None else (repr(float(x)) if isinstance(x, (int, float)) else str(x)))
+        out[c] = col.where(col.notna(), None).map(lambda x: NULL if x is None else (repr(float(x)) if isinstance(x, (int, float)) else str(x)))
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
