@@ -104,13 +104,18 @@ def feature_health_registry(spark, sf_dir):
 
 
 def experiments(spark, sf_dir):
-    m = cut_lineage(metrics(spark, sf_dir, SWING, scores))
-    diagnostics, valid = search.optimize_profiles(m.where("Feature_Set = 'baseline'"), SWING, KEYS)
+    return matrix_of(cut_lineage(metrics(spark, sf_dir, SWING, scores)), SWING)
+
+
+def matrix_of(m, setups):
+    """Both modes of every set; the frozen setup is the baseline's."""
+    diagnostics, valid = search.optimize_profiles(m.where("Feature_Set = 'baseline'"), setups, KEYS)
     chosen = search.resolve_setups(None, valid, diagnostics, ["ticker", "Profile"])
-    return search.experiment_matrix(m, SWING, chosen, COST, MIN_EDGE)
+    return search.experiment_matrix(m, setups, chosen, COST, MIN_EDGE)
 
 
-EXPERIMENTS = f"""{best_sql(SWING, S3, cost=COST, min_edge=MIN_EDGE)}, {DIAGNOSED},
+def experiments_sql(setups, sets):
+    return f"""{best_sql(setups, sets, cost=COST, min_edge=MIN_EDGE)}, {DIAGNOSED},
 chosen AS (SELECT ticker, profile, la, tp, sl, th FROM (SELECT *, row_number() OVER
     (PARTITION BY ticker, profile ORDER BY (reasons = '') DESC, round(score, 10) DESC, la, tp, sl, th) AS pick
   FROM diag WHERE fs = 'baseline') r WHERE pick = 1),
@@ -121,6 +126,9 @@ res AS MATERIALIZED (SELECT a.*, a.score - b.score AS d_score, a.edge - b.edge A
     a.trades_n - b.trades_n AS d_trades, a.Validation_Precision - b.Validation_Precision AS d_prec,
     a.Excess_Precision - b.Excess_Precision AS d_exc, a.Avg_Holding_Days - b.Avg_Holding_Days AS d_hold
   FROM res0 a LEFT JOIN (SELECT * FROM res0 WHERE fs = 'baseline') b USING (ticker, profile, mode))"""
+
+
+EXPERIMENTS = experiments_sql(SWING, S3)
 DELTA_SQL = """d_score AS Score_Delta_vs_Baseline, d_prec AS Validation_Precision_Delta_vs_Baseline,
   d_exc AS Excess_Precision_Delta_vs_Baseline, d_edge AS Edge_vs_Breakeven_Delta_vs_Baseline,
   d_ret AS Avg_Return_Delta_vs_Baseline, d_exp AS Expectancy_Per_Day_Delta_vs_Baseline,
@@ -538,6 +546,16 @@ MODEL_SET = "candidate_cost_resilient_recovery_no_noise_v1"
 MODEL_COLUMNS = feature_sets()[MODEL_SET]
 
 
+def signal_evidence(spark, sf_dir):
+    """What the frozen grid over all periods says about the production setup; RSI stands in for its probability there."""
+    _, stable = W.frozen_grid(periods_frame(spark, sf_dir), FIXED[:1], complete(), {MODEL_SET: F.col("RSI_14") / 100}, 0.0, MIN_EDGE)
+    stable = cut_lineage(stable)
+    setup = {c: FIXED[0][c] for c in search.SETUP_KEY}
+    wanted = stable.select("ticker").distinct().select(
+        "ticker", F.lit(MODEL_SET).alias("Feature_Set"), *[F.lit(value).alias(c) for c, value in setup.items()])
+    return D.research_evidence(wanted, stable, ["ticker"]).select("ticker", "evidence.*")
+
+
 def model_signals(spark, sf_dir, **options):
     features = feature_frame(spark, sf_dir, columns=MODEL_COLUMNS)
     return signal.latest_signals(features, MODEL_COLUMNS, FIXED[0], MODEL_SET, "SWING", **options)
@@ -546,7 +564,7 @@ def model_signals(spark, sf_dir, **options):
 @query("gbt_signal")
 def gbt_signal(spark, sf_dir):
     """Latest nested signal rows from a boosted-tree panel model of the published size."""
-    return model_signals(spark, sf_dir).select("ticker", F.to_json(F.struct("*")).alias("payload"))
+    return model_signals(spark, sf_dir, evidence=signal_evidence(spark, sf_dir)).select("ticker", F.to_json(F.struct("*")).alias("payload"))
 
 
 @query("feature_importance")

@@ -18,17 +18,27 @@ from barloom import contracts as K
 from barloom.session import cut_lineage
 
 
+#: training rows per task; a boosting step is short, so that few rows in many tasks cost more than they help
+ROWS_PER_TASK = 20_000
+
+
+class SingleClass(ValueError):
+    """Training rows that show one class, or none."""
+
+
 def fit(
     train: DataFrame, columns: list[str], trees: int = K.GBT_TREES, depth: int = K.GBT_DEPTH,
-    step: float = K.GBT_STEP, seed: int = K.GBT_SEED,
+    step: float = K.GBT_STEP, seed: int = K.GBT_SEED, materialized: bool = False,
 ) -> PipelineModel:
-    """Fit on rows with ``Target`` 0/1; positives weigh as much as all negatives together."""
-    train = cut_lineage(train.select(*columns, F.col("Target").cast("double").alias("Target")))
+    """Fit on rows with ``Target`` 0/1; positives weigh as much as all negatives together. ``materialized`` rows
+    come from a table and are read again instead of being kept."""
+    train = train.select(*columns, F.col("Target").cast("double").alias("Target"))
+    train = train if materialized else cut_lineage(train)
     counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("Target").alias("pos")).first()
     if not counts["pos"] or counts["pos"] == counts["n"]:
-        raise ValueError("training rows show a single class")
+        raise SingleClass("training rows show a single class")
     weight = (counts["n"] - counts["pos"]) / counts["pos"]
-    weighted = train.withColumn("weight", F.when(F.col("Target") == 1, weight).otherwise(1.0))
+    weighted = train.coalesce(-(-counts["n"] // ROWS_PER_TASK)).withColumn("weight", F.when(F.col("Target") == 1, weight).otherwise(1.0))
     stages = [
         VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
@@ -51,19 +61,3 @@ def top_features(model: PipelineModel, columns: list[str], count: int = 10) -> l
     importances = model.stages[-1].featureImportances.toArray()
     ranked = sorted(zip(columns, importances), key=lambda pair: -pair[1])[:count]
     return [(i, name, float(value)) for i, (name, value) in enumerate(ranked, start=1)]
-
-
-def fold_scores(
-    labeled: DataFrame, columns: list[str], splits: int = K.CV_SPLITS, **options
-) -> DataFrame:
-    """Out-of-fold probabilities of one setup's labeled rows: fold i is scored by a model fitted on
-    all earlier segments. Rows before the first test span keep a null score, as they are never
-    traded but count as training rows."""
-    parts = [labeled.where("segment = 0").withColumn("score", F.lit(None).cast("double"))]
-    for fold in range(1, splits + 1):
-        model = fit(labeled.where(F.col("segment") < fold), columns, **options)
-        parts.append(probability(model, labeled.where(F.col("segment") == fold)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

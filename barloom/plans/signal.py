@@ -37,8 +37,11 @@ def latest_signals(
     candidate_name: str = "", evidence: DataFrame | None = None, top: int = 10, **model_options,
 ) -> DataFrame:
     """Train on labeled rows before each ticker's latest complete row, score that row, decide, and
-    return one nested row per ticker with enough labeled rows of both classes."""
+    return one nested row per ticker with enough labeled rows of both classes. ``evidence`` holds what earlier
+    research found for a ticker's setup: (ticker, Pass_Periods, Min_Edge, Avg_Return)."""
     usable = complete_rows(columns)
+    # latest rows and training rows both read the features, which are computed once
+    features = cut_lineage(features.select(*KEYS, "date", "Close", *[c for c in columns if c != "Close"]))
     latest = cut_lineage(latest_complete(features, KEYS, usable, columns))
     grid = [(setup["LOOKAHEAD"], setup["TP"], setup["SL"])]
     train = cut_lineage(training_rows(label_frame(features, KEYS, grid, usable, columns), latest, KEYS))

@@ -50,8 +50,14 @@ def walkforward(
     cost: float = 0.0, min_edge: float = 0.02,
 ) -> tuple[DataFrame, DataFrame]:
     """Re-optimized search per period: (results with period deltas, stability per feature set)."""
+    return reoptimized(search.grid_metrics(features, PERIOD_KEYS, setups, complete, scores), setups, cost, min_edge)
+
+
+def reoptimized(
+    metrics: DataFrame, setups: list[dict], cost: float = 0.0, min_edge: float = 0.02
+) -> tuple[DataFrame, DataFrame]:
+    """``walkforward`` from the raw metrics per period, of whatever scores."""
     keys = [*PERIOD_KEYS, "Feature_Set"]
-    metrics = search.grid_metrics(features, PERIOD_KEYS, setups, complete, scores)
     # one row per period, ticker, profile and set; read twice below
     best = cut_lineage(search.best_setups(search.profile_results(metrics, setups, cost, min_edge), keys, setups))
     results = add_deltas(
@@ -61,11 +67,7 @@ def walkforward(
     return results, stability(candidates, ["ticker", "Profile", "Feature_Set"], min_edge)
 
 
-def _frozen_results(
-    features: DataFrame, setups: list[dict], complete: Column, scores: dict[str, Column],
-    cost: float, min_edge: float,
-) -> DataFrame:
-    metrics = search.grid_metrics(features, PERIOD_KEYS, setups, complete, scores)
+def _graded(metrics: DataFrame, setups: list[dict], cost: float, min_edge: float) -> DataFrame:
     return search.profile_results(metrics, setups, cost, min_edge).withColumn(
         "Experiment_Mode", F.lit("fixed_setup")
     )
@@ -78,7 +80,12 @@ def frozen_walkforward(
     """One fixed setup for every feature set and period: (results with deltas, stability)."""
     if "baseline" not in scores:
         raise ValueError("the baseline feature set is needed for the deltas")
-    results = cut_lineage(_frozen_results(features, [setup], complete, scores, cost, min_edge))
+    return frozen(search.grid_metrics(features, PERIOD_KEYS, [setup], complete, scores), setup, cost, min_edge)
+
+
+def frozen(metrics: DataFrame, setup: dict, cost: float = 0.0, min_edge: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """``frozen_walkforward`` from the raw metrics per period, of whatever scores."""
+    results = cut_lineage(_graded(metrics, [setup], cost, min_edge))
     results = add_deltas(
         results, ["Period_Label", "ticker", "Profile"], FROZEN_METRICS, "Delta_vs_Period_Baseline"
     )
@@ -96,7 +103,12 @@ def frozen_grid(
     cost: float = 0.0, min_edge: float = 0.02,
 ) -> tuple[DataFrame, DataFrame]:
     """Every setup of a grid, frozen, over all periods: (results, stability per setup)."""
-    results = _frozen_results(features, setups, complete, scores, cost, min_edge)
+    return grid(search.grid_metrics(features, PERIOD_KEYS, setups, complete, scores), setups, cost, min_edge)
+
+
+def grid(metrics: DataFrame, setups: list[dict], cost: float = 0.0, min_edge: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """``frozen_grid`` from the raw metrics per period, of whatever scores."""
+    results = _graded(metrics, setups, cost, min_edge)
     c = F.col
     results = results.withColumn(
         "Setup_ID", setup_id(c("Feature_Set"), c("LOOKAHEAD"), c("TP"), c("SL"), c("THRESH"))

@@ -49,3 +49,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def complete_table(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(context.hadoopConfiguration()).exists(marker)
+
+
+def written_once(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
+    """The table at ``path``, written if it is not there to its end: a step that a repeated run skips."""
+    if not complete_table(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path, partitionBy=by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,6 +26,8 @@ def test_model_queries_ask_for_the_published_size(spark, monkeypatch):
     assert asked == [(COLUMNS, K.GBT_TREES, K.GBT_DEPTH)] * 2 and len(COLUMNS) == 34
     assert len(rows) == 25 and {r["data"]["feature_columns"] for r in rows} == {34}
     assert all(0 <= r["signal"]["probability"] <= 1 for r in rows)
+    evidence = [r["research_evidence"] for r in rows]
+    assert all(e["pass_periods"] is not None for e in evidence) and any("avg_return" in e for e in evidence)
     assert sorted(r.feature for r in importance) == sorted(COLUMNS)
     assert abs(sum(r.importance for r in importance) - 1) < 1e-9
 
