@@ -85,7 +85,8 @@ long AS (SELECT ticker, Feature, value FROM v UNPIVOT INCLUDE NULLS (value FOR F
 stats AS (SELECT ticker, Feature, 1.0::double - count(value) / CAST(count(*) AS double) AS miss, count(DISTINCT value) AS uniq,
     avg(value) AS mean, stddev_samp(value) AS sd FROM long GROUP BY 1, 2),
 sets(fs, Feature) AS (VALUES {_MEMBERS})
-SELECT ticker, fs AS Feature_Set, Feature, miss AS Missing_Pct, uniq AS Unique_Count, mean AS Mean, sd AS Std,
+SELECT ticker, fs AS Feature_Set, Feature, miss AS Missing_Pct, uniq AS Unique_Count,
+  CASE WHEN abs(mean) < sd * 1e-9 THEN 0 ELSE mean END AS Mean, sd AS Std,
   uniq <= 1 OR sd IS NULL OR sd = 0 AS Zero_Variance, CASE
     WHEN uniq <= 1 OR sd IS NULL OR sd = 0 THEN 'zero_variance' WHEN miss > 0.3 THEN 'high_missing' ELSE 'ok' END AS Status
 FROM stats JOIN sets USING (Feature)""",
@@ -97,7 +98,9 @@ def feature_health_registry(spark, sf_dir):
     left = feature_frame(spark, sf_dir, columns=REGISTERED).withColumn("shown", F.col("ticker")).withColumn("ticker", F.upper("ticker"))
     wide = merge_valuation(left, _statements.valuation(spark, sf_dir), VALUATION)
     rounded = {c: F.round(c, NOISE_DIGITS) for c in NOISY}
-    return feature_health(wide.withColumns({"ticker": F.col("shown"), **rounded}), KEYS, REGISTRY)
+    health = feature_health(wide.withColumns({"ticker": F.col("shown"), **rounded}), KEYS, REGISTRY)
+    # what is left of a mean of nothing depends on the order of summing
+    return health.withColumn("Mean", F.when(F.abs("Mean") < F.col("Std") * 1e-9, 0.0).otherwise(F.col("Mean")))
 
 
 # ---- experiments ---------------------------------------------------------------------------------

@@ -189,7 +189,7 @@ votes AS (
 @query("date_order_detect", f"WITH {RAW} SELECT file, date_order FROM votes")
 def date_order_detect(spark, sf_dir):
     raw = raw_rows(spark, sf_dir)
-    return market.detect_date_orders(market.text_columns(raw, market.file_headers(raw)))
+    return market.detect_date_orders(market.text_columns(raw, market.file_headers(raw))).drop("n")
 
 
 @query(
@@ -202,7 +202,7 @@ def parse_dates(spark, sf_dir):
     texts = market.text_columns(raw, market.file_headers(raw))
     orders = market.detect_date_orders(texts)
     return (
-        texts.join(orders, "file")
+        texts.join(orders.drop("n"), "file")
         .select("file", market.date_text().alias("text"), parse_date(market.date_text(), F.col("date_order")).alias("date"))
         .groupBy("file", "text", "date").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -256,6 +256,77 @@ def file_audit(spark, sf_dir):
     return market.file_audit(raw_rows(spark, sf_dir))
 
 
+# ---- text files: records over several lines, code pages ------------------------------------------
+
+
+def _text_lines(rows, text, place, broken=None):
+    """(file, ordinal, text, modified): a row's text cut at its line breaks, ``block`` being the part of the file it lies in.
+    The lines of a ``broken`` row but the first lie in the next part."""
+    block = F.col("block") if broken is None else F.col("block") + (broken & (F.col("part") > 0)).cast("int")
+    return rows.select("*", F.posexplode(F.split(text, "\n")).alias("part", "text")).select(
+        "file", F.struct(block.alias("block"), F.struct(*place, F.col("part")).alias("line")).alias("ordinal"), "text",
+        F.lit(None).cast("timestamp").alias("modified"),
+    )
+
+
+@query(
+    "raw_csv_scan",
+    """SELECT p_brand AS file, CAST(l_orderkey AS varchar) || ':' || l_linenumber AS a,
+  CASE WHEN l_quantity % 3 = 0 THEN 'note "' || l_returnflag || '",' || chr(10) || chr(10) || 'next ' || l_linestatus
+    WHEN l_quantity % 3 = 1 THEN 'ends' || chr(10) ELSE CAST(CAST(round(l_extendedprice * 100) AS bigint) AS varchar) || '" wide' END AS b, l_returnflag AS c
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+)
+def raw_csv_scan(spark, sf_dir):
+    """Quoted cells with separators, doubled quotes and line breaks, a file per ticker, its blocks cut anywhere."""
+    third = (F.col("l_quantity") % 3).cast("int")
+    separator = F.when(F.substring("ticker", 7, 9).cast("int") % 2 == 0, ";").otherwise(",")
+    cell = (
+        F.when(third == 0, F.concat(F.lit('"note ""'), "l_returnflag", F.lit('"",\n\nnext '), "l_linestatus", F.lit('"')))
+        .when(third == 1, F.lit('"ends\n"'))
+        .otherwise(F.concat(cents().cast("string"), F.lit('" wide')))
+    )
+    text = F.concat(F.concat_ws(":", "l_orderkey", "l_linenumber"), separator, cell, separator, "l_returnflag")
+    rows = trades(spark, sf_dir).withColumns({"file": F.col("ticker"), "block": F.floor(F.col("l_orderkey") / 1000) * 2})
+    # the last record of a block lies in two, if it has several lines
+    lasts = rows.groupBy("file", "block").agg(F.max(F.struct(*KEY)).alias("last"))
+    body = _text_lines(rows.join(lasts, ["file", "block"]), text, [F.col(k) for k in KEY], F.struct(*KEY) == F.col("last"))
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct()
+    types = dict(trades(spark, sf_dir).dtypes)
+    heads = files.select(
+        F.col("ticker").alias("file"), F.lit(-1).cast("bigint").alias("block"), separator.alias("sep"),
+        *[F.lit(0).cast(types[k]).alias(k) for k in KEY])
+    head = _text_lines(heads, F.concat(F.lit("a"), "sep", F.lit('"b\n(text)"'), "sep", F.lit("c")), [F.col(k) for k in KEY])
+    cells = market.parse_lines(body.unionByName(head))
+    return cells.where("cells[0] <> 'a'").select("file", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
+_PLAIN_TEXT = r"regexp_replace(coalesce(text, ''), '[\x00-\x1F;,|\"\x7F-\x9F]+', ' ', 'g')"
+
+
+@query(
+    "encoded_lines",
+    f"""SELECT lang AS file, CAST(doc_id AS varchar) AS id, nullif(trim(CASE lang WHEN 'en' THEN t ELSE regexp_replace(t, '[^\x00-\xFF]', '?', 'g') END), '') AS text
+FROM (SELECT doc_id, lang, {_PLAIN_TEXT} AS t FROM documents) d WHERE lang IN ('en', 'fr', 'de', 'es')""",
+)
+def encoded_lines(spark, sf_dir):
+    """Whole texts as lines of a file per language: UTF-8, Windows-1258, Windows-1252 and Latin-1, told apart by their bytes."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r'[\x00-\x1F;,|"\x7F-\x9F]+', " ")
+    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'fr', 'de', 'es')").select("doc_id", "lang", plain.alias("t"))
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(";"), "t")
+    latin = F.encode(F.concat(F.col("doc_id").cast("string"), F.lit(";"), F.regexp_replace("t", r"[^\x00-\xFF]", "?")), "ISO-8859-1")
+    ordinal = lambda block, n: F.struct(F.lit(block).alias("block"), n.cast("bigint").alias("line")).alias("ordinal")
+    body = docs.select(
+        F.col("lang").alias("file"), ordinal(1, F.col("doc_id")), F.when(F.col("lang") == "en", F.encode(line, "UTF-8")).otherwise(latin).alias("bytes"))
+    # fixed values: a byte that only the page meant, or none before it, knows
+    marks = {"en": "", "fr": "E9", "de": "9A", "es": "81"}
+    heads = docs.select("lang").distinct().select(
+        F.col("lang").alias("file"), ordinal(0, F.lit(0)),
+        F.concat(F.encode(F.lit("id;text "), "UTF-8"), F.unhex(F.create_map(*[F.lit(x) for p in marks.items() for x in p])[F.col("lang")])).alias("bytes"))
+    lines = body.unionByName(heads).select("file", "ordinal", F.col("bytes").cast("string").alias("text"), F.lit(None).cast("timestamp").alias("modified"))
+    cells = market.parse_lines(lines).where("ordinal.block = 1")
+    return cells.select("file", F.get("cells", F.lit(0)).alias("id"), F.get("cells", F.lit(1)).alias("text"))
+
+
 @query(
     "bars_dedup_keep_last",
     f"""SELECT p_brand AS ticker, CAST(l_shipdate AS date) AS date, max_by(l_extendedprice, ({", ".join(KEY)})) AS price,

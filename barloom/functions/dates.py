@@ -41,7 +41,19 @@ def _civil(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_date(text: Column, order: Column) -> Column:
-    """Date under the file's detected order; ISO texts are read as such under any order."""
+    """Date under the file's detected order; ISO texts are read as such under any order. The two usual
+    shapes are read at once."""
+    t = F.trim(text)
+    one, two, year = F.substring(t, 1, 2), F.substring(t, 4, 2), F.substring(t, 7, 4)
+    turned = F.when(order == "dayfirst", F.concat_ws("-", year, two, one)).otherwise(F.concat_ws("-", year, one, two))
+    return (
+        F.when(t.rlike(r"^[1-9]\d{3}-\d{2}-\d{2}$"), t.try_cast("date"))
+        .when(t.rlike(r"^\d{2}[/-]\d{2}[/-][1-9]\d{3}$"), turned.try_cast("date"))
+        .otherwise(_parse_any_date(text, order))
+    )
+
+
+def _parse_any_date(text: Column, order: Column) -> Column:
 
     def read(t: Column) -> Column:
         one, two, year = (_group(t, SHORT, i) for i in (1, 2, 3))

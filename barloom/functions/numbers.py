@@ -51,6 +51,18 @@ def decimal_point(text: Column) -> Column:
 
 
 def _market(raw: Column) -> Column:
+    """Texts that need no settling are read at once; the others go through every rule."""
+    number = lambda t: t.try_cast("double")
+    return (
+        F.when(raw.isNull(), F.lit(None).cast("double"))
+        .when(raw.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), number(raw))
+        .when(raw.rlike(r"^-?[0-9]+,(?:[0-9]{1,2}|[0-9]{4,})$"), number(F.translate(raw, ",", ".")))
+        .when(raw.rlike(r"^-?[0-9]+(?:\.[0-9]+)?[KMB]$"), number(F.translate(raw, "KMB", "")) * suffix_scale(raw))
+        .otherwise(_market_rules(raw))
+    )
+
+
+def _market_rules(raw: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(raw, r"[\s\u00a0]", ""), MINUS_SIGNS, "-")
 
     def signed(t: Column) -> Column:

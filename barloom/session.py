@@ -12,8 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # vendor CSVs may arrive in a Windows code page
-    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

@@ -1,10 +1,10 @@
 """Market CSVs of any vendor to standardized bars, for a whole directory in one job.
 
-Raw input is (file, ordinal, cells): one row per text line, ordinal growing within a file, the
-lowest ordinal being the header. Files differ in headers, language, separators, number and date
-formats; each of those is settled per file by small aggregates that combine before they shuffle,
-and joined back without a hint, so that a file holding most of the rows is split by the adaptive
-skew join instead of landing in one task.
+Raw input is (file, ordinal, cells): one row per record, ordinal growing within a file, the
+lowest ordinal being the header. Files differ in headers, language, number and date formats; each of
+those is settled per file by small aggregates that combine before they shuffle, and joined back by
+``perfile.with_group``, which does not gather a file in one task. The cells are written once and read
+by each of these steps.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from barloom.functions.dates import order_from_votes, order_votes, parse_date
 from barloom.functions.numbers import parse_number
 from barloom.functions.text import normalize_header
+from barloom.operators.perfile import with_group
+from barloom.session import written
+from barloom.sources.lines import parse_lines, split_cells  # noqa: F401
 
 # --- fixed values: target columns and the header names vendors use for them -----------------------
 
@@ -70,7 +73,6 @@ INDEX_FILE_MARKS = ["VNINDEX", "VN30", "HNXINDEX"]
 INDEX_HEADER_MARKS = ["vnopen", "vnhigh", "vnlow", "vnclose", "vnvolume", "vnchangepct", "vndate"]
 STOCK_REQUIRED = ["Date", "Open", "High", "Low", "Close", "Volume"]
 INDEX_REQUIRED = ["Date", "Open", "High", "Low", "Close"]
-SEPARATORS = [",", ";", "\t", "|"]
 
 # --------------------------------------------------------------------------------------------------
 
@@ -96,20 +98,7 @@ def file_name(file: Column | str = "file") -> Column:
     return F.regexp_extract(file, "[^/]*$", 0)
 
 
-def split_cells(text: Column, separator: str) -> Column:
-    """All cells of a line; quoted ones may hold separators and doubled quotes."""
-    s = re.escape(separator)
-    found = F.regexp_extract_all(F.concat(F.lit(separator), text), F.lit(f'{s}(?:"(?:[^"]|"")*+"[^{s}]*|[^{s}]*)'), F.lit(0))
-
-    def cell(match):
-        plain = F.substr(match, F.lit(2))
-        quoted = F.regexp_extract(plain, '^"((?:[^"]|"")*+)"', 1)
-        return F.when(plain.rlike('^"(?:[^"]|"")*+"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain)
-
-    return F.transform(found, lambda m: F.nullif(F.trim(cell(m)), F.lit("")))
-
-
-def read_market_csv(spark: SparkSession, path: str, fallback: str = "windows-1258") -> DataFrame:
+def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, modified, cells) of all CSVs below ``path``, cut by ``parse_lines``."""
     return parse_lines(spark.read.option("recursiveFileLookup", "true").text(path).select(
         relative_to(path).alias("file"),
@@ -118,36 +107,13 @@ def read_market_csv(spark: SparkSession, path: str, fallback: str = "windows-125
         ).alias("ordinal"),
         F.col("value").alias("text"),
         F.col("_metadata.file_modification_time").alias("modified"),
-    ), fallback)
-
-
-def parse_lines(lines: DataFrame, fallback: str = "windows-1258") -> DataFrame:
-    """(file, ordinal, modified, cells) from lines (file, ordinal, text, modified).
-
-    Lines that are not valid UTF-8 are decoded with the ``fallback`` code page. The separator is
-    the one most frequent in the file's header line. A quoted cell ends with its line."""
-    lines = lines.withColumn(
-        "text",
-        F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(F.decode(F.col("text").cast("binary"), fallback)),
-    ).where("trim(text) <> ''")
-    header = lines.groupBy("file").agg(F.min_by("text", "ordinal").alias("header"))
-    counts = F.array(
-        *[
-            F.struct((F.length("header") - F.length(F.translate("header", s, ""))).alias("n"), F.lit(-i).alias("i"))
-            for i, s in enumerate(SEPARATORS)
-        ]
-    )
-    sniffed = header.select("file", (-F.array_max(counts)["i"]).alias("sep"))
-    cells = F.lit(None).cast("array<string>")
-    for i, s in enumerate(SEPARATORS):
-        cells = F.when(F.col("sep") == i, split_cells(F.col("text"), s)).otherwise(cells)
-    return lines.join(sniffed, "file").select("file", "ordinal", "modified", cells.alias("cells"))
+    ))
 
 
 def file_headers(raw: DataFrame) -> DataFrame:
     """Per file: header ordinal, kind, cell positions of every target column and what is missing."""
     heads = raw.groupBy("file").agg(
-        F.min("ordinal").alias("first"), F.min_by("cells", "ordinal").alias("header")
+        F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), F.min_by("cells", "ordinal").alias("header")
     )
     lookup = alias_map()
     heads = heads.withColumn("keys", F.transform("header", lambda h: normalize_header(h))).withColumn(
@@ -167,7 +133,7 @@ def file_headers(raw: DataFrame) -> DataFrame:
     marks = F.array(*[F.lit(m) for m in INDEX_HEADER_MARKS])
     marked = F.arrays_overlap(F.filter("keys", lambda k: k.isNotNull()), marks)
     heads = heads.select(
-        "file", "first", "names", positions.alias("at"),
+        "file", "n", "first", "names", positions.alias("at"),
         F.when(named | marked, "vnindex").otherwise("stock").alias("kind"),
     )
 
@@ -175,19 +141,23 @@ def file_headers(raw: DataFrame) -> DataFrame:
         return F.array_except(F.array(*[F.lit(n) for n in required]), "names")
 
     missing = F.when(F.col("kind") == "stock", lacking(STOCK_REQUIRED)).otherwise(lacking(INDEX_REQUIRED))
-    return heads.withColumn("missing_required_columns", F.array_join(missing, ", ")).drop("names")
+    return heads.withColumns({
+        "missing_required_columns": F.array_join(missing, ", "),
+        "plain": F.forall("at", lambda at: F.size(at) <= 1),
+    }).drop("names")
 
 
 def text_columns(raw: DataFrame, headers: DataFrame) -> DataFrame:
     """Data rows with ``texts``, one entry per target column: the first non-null of the cells that
     map to it, left to right."""
-    rows = raw.join(headers, "file").where(F.col("ordinal") > F.col("first"))
-    texts = F.transform(
+    rows = with_group(raw, headers, "file", "ordinal").where(F.col("ordinal") > F.col("first"))
+    several = F.transform(
         "at",
         lambda at: F.get(
             F.filter(F.transform(at, lambda i: F.get("cells", i)), lambda t: t.isNotNull()), F.lit(0)
         ),
     )
+    texts = F.when(F.col("plain"), F.transform("at", lambda at: F.get("cells", F.get(at, F.lit(0))))).otherwise(several)
     return rows.select("file", "ordinal", "kind", "missing_required_columns", texts.alias("texts"))
 
 
@@ -199,23 +169,20 @@ def detect_date_orders(texts: DataFrame) -> DataFrame:
     """Per file: iso, monthfirst or dayfirst, by the votes of all its dates. Votes are sums, which
     combine before the shuffle, so a file of any size sends one row per task."""
     votes = order_votes(F.col("text"))
-    return texts.select("file", date_text().alias("text")).where("text IS NOT NULL").select("file", votes.alias("v")).groupBy("file").agg(
-        order_from_votes(F.sum("v.iso"), F.sum("v.first"), F.sum("v.second")).alias("date_order")
+    told = texts.select("file", date_text().alias("text")).select("file", "text", votes.alias("v"))
+    return told.groupBy("file").agg(
+        F.when(F.count("text") > 0, order_from_votes(F.sum("v.iso"), F.sum("v.first"), F.sum("v.second"))).alias("date_order"),
+        F.count(F.lit(1)).alias("n"),
     )
 
 
 def typed_rows(texts: DataFrame, orders: DataFrame) -> DataFrame:
-    """Texts to dates and doubles."""
-    rows = texts.join(orders, "file", "left")
-    numbers = F.transform(F.slice("texts", 2, len(STOCK_COLUMNS) - 1), lambda t: parse_number(t, "market"))
+    """Texts to dates and doubles. ``orders`` has a row for every file of ``texts``."""
+    rows = with_group(texts, orders, "file", "ordinal")
     day = parse_date(date_text(), F.coalesce("date_order", F.lit("dayfirst")))
-    rows = rows.select(
-        "file", "ordinal", "kind", "missing_required_columns", "date_order", day.alias("Date"),
-        numbers.alias("numbers"),
-    )
     return rows.select(
-        "file", "ordinal", "kind", "missing_required_columns", "date_order", "Date",
-        *[F.get("numbers", F.lit(i)).alias(n) for i, n in enumerate(STOCK_COLUMNS[1:])],
+        "file", "ordinal", "kind", "missing_required_columns", "date_order", day.alias("Date"),
+        *[parse_number(F.get("texts", F.lit(i)), "market").alias(n) for i, n in enumerate(STOCK_COLUMNS) if i],
     )
 
 
@@ -252,8 +219,15 @@ def ohlc_invalid() -> Column:
 
 def standardize(raw: DataFrame) -> DataFrame:
     """Raw cells to typed, complete, de-duplicated bars of every file."""
-    texts = text_columns(raw, file_headers(raw))
-    return clean_bars(typed_rows(texts, detect_date_orders(texts)))
+    return clean_bars(typed_table(raw)[1])
+
+
+def typed_table(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, typed rows) of raw cells, which are written first because each step reads them."""
+    raw = written(raw.select("file", "ordinal", "cells"), "cells")
+    headers = written(file_headers(raw), "headers")
+    texts = text_columns(raw, headers)
+    return headers, typed_rows(texts, written(detect_date_orders(texts), "orders"))
 
 
 def stock_table(clean: DataFrame) -> DataFrame:
@@ -275,9 +249,8 @@ def file_audit(raw: DataFrame) -> DataFrame:
 
     One pass counts rows per (file, date) and picks the surviving bar; a second, small aggregation
     adds those up per file."""
-    headers = file_headers(raw)
-    texts = text_columns(raw, headers)
-    typed = typed_rows(texts, detect_date_orders(texts)).withColumn("core", has_core())
+    headers, typed = typed_table(raw)
+    typed = typed.withColumn("core", has_core())
     bar = F.struct("High", "Low", "Open", "Close")
     days = typed.groupBy("file", "Date").agg(
         F.count(F.lit(1)).alias("n"),

@@ -184,3 +184,117 @@ def test_benchmark_is_one_row_per_day(spark):
     index = spark.createDataFrame([("x", "2026-01-05", 5.0), ("x", "2026-01-05", 6.0), ("y", "2026-01-05", 9.0)], "index_id string, date string, vn_close double")
     assert [r["vn_close"] for r in join_benchmark(stock, index, "x").collect()] == [6.0]
     assert join_benchmark(stock, index).count() == 1
+
+
+# ---- lines to records ----------------------------------------------------------------------------
+
+
+def blocks_of(text, size):
+    """Physical lines with the part of the file they are read in, as a text scan gives them."""
+    at, out = 0, []
+    for n, line in enumerate(text.split("\n")):
+        out.append((at // size, n, line))
+        at += len(line) + 1
+    return out
+
+
+def cut(spark, files, size=40, small=10_000, **kinds):
+    from barloom.sources.lines import parse_lines
+
+    rows = [(name, (b, n), line) for name, text in files.items() for b, n, line in blocks_of(text, size)]
+    lines = spark.createDataFrame(rows, "file string, ordinal struct<block:bigint,line:bigint>, text string").withColumn(
+        "modified", F.lit(None).cast("timestamp"))
+    got = parse_lines(lines.repartition(7), small).orderBy("file", "ordinal").collect()
+    return {name: [r["cells"] for r in got if r["file"] == name] for name in files}
+
+
+def local(text, separator=","):
+    import csv
+    import io
+
+    return [[c.strip(" ") or None for c in row] for row in csv.reader(io.StringIO(text), delimiter=separator) if ",".join(row).strip()]
+
+
+def test_records_over_many_lines_and_blocks_equal_a_local_parser(spark):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(4)
+    pieces = ["a", 'say "x"', "two\nlines", "\n\nthree", ",", "", 'ends"\n"', " b ", "1,5", "long " * 30]
+    files = {}
+    for k in range(12):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n", delimiter=[",", ";", "\t", "|"][k % 4])
+        writer.writerow(["h1", "h2", "h3"])
+        for _ in range(rng.randint(0, 60)):
+            writer.writerow([rng.choice(pieces) for _ in range(3)])
+        files[f"f{k}"] = out.getvalue()
+    for size in (7, 64, 100_000):
+        got = cut(spark, files, size)
+        for k in range(12):
+            assert got[f"f{k}"] == local(files[f"f{k}"], [",", ";", "\t", "|"][k % 4])
+
+
+def test_quotes_that_open_nothing(spark):
+    files = {
+        "inch": 'a,b\n5" pipe,"open, not closed\nx,y\n',  # the file ends inside a cell: lines are records
+        "mid": 'a,b\n5" pipe,7"\nx,"q\nr"\n', "plain": "a,b\n\n1,2\n", "empty": "\n \n",
+    }
+    got = cut(spark, files, 9)
+    assert got["inch"] == [["a", "b"], ['5" pipe', '"open', "not closed"], ["x", "y"]]
+    assert got["mid"] == [["a", "b"], ['5" pipe', '7"'], ["x", "q\nr"]]
+    assert got["plain"] == [["a", "b"], ["1", "2"]] and got["empty"] == []
+
+
+def test_files_beyond_the_broadcast_are_salted(spark):
+    files = {f"f{k}": f"a{k},b\n" + "1,\"x\ny\"\n" * (300 if k == 0 else 2) for k in range(6)}
+    for small in (3, 100):
+        assert cut(spark, files, 50, small) == {name: local(text) for name, text in files.items()}
+
+
+def test_no_task_of_the_salted_join_holds_a_hot_file(spark):
+    from barloom.operators.perfile import with_group
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 997).cast("string"))).alias("file"),
+        F.struct(F.lit(0).alias("block"), F.col("id").alias("line")).alias("ordinal"))
+    groups = rows.groupBy("file").agg(F.count("*").alias("n"), F.max("ordinal.line").alias("top"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for key, value in zip(before, ("8", "-1", "false")):
+            spark.conf.set(key, value)
+        joined = with_group(rows, groups, "file", "ordinal", small=5)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert joined.count() == 20_000 and joined.columns == ["file", "ordinal", "top"]
+        assert max(sizes) <= 2 * 20_000 / 8
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_code_pages_without_a_session_setting(spark, tmp_path):
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    head = "Date,Open,High,Low,Last,KLGD,ghi chú\n2026-06-16,1,2,1,2,7,"
+    (tmp_path / "A.csv").write_text("﻿" + head + "đổi €\n", encoding="utf-8")
+    (tmp_path / "B.csv").write_bytes((head + "đô ăn Ưu\n").encode("cp1258"))
+    (tmp_path / "C.csv").write_bytes((head + "Škoda žába\n").encode("cp1252"))
+    (tmp_path / "D.csv").write_bytes((head + "ã ý \x81þ\n").encode("latin-1"))
+    got = {r["file"]: r["cells"][6] for r in market.read_market_csv(spark, str(tmp_path)).orderBy("ordinal").collect()}
+    assert got == {"A.csv": "đổi €", "B.csv": "đô ăn Ưu", "C.csv": "Škoda žába", "D.csv": "ã ý \x81þ"}
+    assert standardized(spark, tmp_path).count() == 4
+
+
+def test_quick_and_general_number_and_date_rules_agree(spark):
+    from barloom.functions import dates, numbers
+
+    texts = ["1", "-1", "1.5", "1,5", "1,50", "1,500", "1,5000", "1.500", "1.500.000", "-0", "2K", "2.5M", "-3.25B", "1,5K", "--", "", "5%",
+             "007", "1.", ".5", "1e5", " 1", "−4", "(2)", "-(2)", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", numbers.parse_number("t").alias("a"), numbers._market_rules(F.col("t")).alias("b")).collect():
+        assert r["a"] == r["b"], r
+    days = ["2024-02-30", "2024-02-29", "0050-01-01", "31/12/2024", "12/31/2024", "1/2/24", "01-02-2024", "2024/1/5", "2024-01-05T00:00", "x", " 05/06/2020 ", None]
+    for order in ("dayfirst", "monthfirst", "iso"):
+        got = spark.createDataFrame([(d,) for d in days], "d string").select(
+            "d", dates.parse_date(F.col("d"), F.lit(order)).alias("a"), dates._parse_any_date(F.col("d"), F.lit(order)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got), got
