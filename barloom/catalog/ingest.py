@@ -361,17 +361,26 @@ def load_bars(spark, sf_dir):
 def payloads(spark, sf_dir):
     b = bars(spark, sf_dir)
 
-    def record(cap):
+    # a ticker's vendor writes dates in one of seven shapes
+    shapes = [
+        F.date_format("date", "yyyy-MM-dd'T'00:00:00"), F.date_format("date", "dd/MM/yyyy"), F.date_format("date", "MM/dd/yyyy 15:30"),
+        F.date_format("date", "yyyyMMdd"), F.date_format("date", "MMM d, yyyy"), F.date_format("date", "dd-MMM-yyyy"),
+        (F.unix_date("date").cast("bigint") * 86400000).cast("string"),
+    ]
+    day = F.get(F.array(*shapes), F.substring("ticker", 7, 9).cast("int") % len(shapes))
+
+    def record(cap, day=day):
         return F.to_json(
             F.struct(
-                F.date_format("date", "yyyy-MM-dd'T'00:00:00").alias("date"),
+                day.alias("date"),
                 F.col("close"), F.col("high"), F.col("low"), F.col("volume"),
                 cap.alias("marketCap"),
             )
         )
 
     items = F.concat(
-        F.lit("["), record(F.col("volume")), F.lit(", "), record(F.col("volume") * 2000000), F.lit("]")
+        F.lit("["), record(F.col("volume")), F.lit(", "), record(F.col("volume") * 2000000),
+        F.when(F.dayofmonth("date") % 7 == 0, F.concat(F.lit(", "), record(F.col("volume"), F.lit("soon")))).otherwise(""), F.lit("]")
     )
     shape = F.dayofmonth("date") % 5
     body = (
@@ -403,6 +412,16 @@ def vendor_unreadable(spark, sf_dir):
     return bad.groupBy("symbol").agg(F.count(F.lit(1)).alias("payloads"))
 
 
+@query(
+    "vendor_unreadable_dates",
+    f"""WITH {BARS} SELECT ticker AS Symbol, 'soon' AS date_text, count(*) AS records FROM bars
+WHERE day(date) % 7 = 0 AND day(date) % 5 <> 4 GROUP BY 1""",
+)
+def vendor_unreadable_dates(spark, sf_dir):
+    bad = vendor.unreadable_dates(payloads(spark, sf_dir))
+    return bad.groupBy("Symbol", "date_text").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query(
     "market_cap_scan",
     f"""WITH {BARS}, caps AS (SELECT ticker, date, close, close * 1000000 AS market_cap FROM bars)
@@ -415,4 +434,4 @@ def market_cap_scan(spark, sf_dir):
         F.col("ticker").alias("symbol"), F.col("date"), F.col("close"),
         (F.col("close") * 1000000).alias("marketCapitalization"),
     )
-    return vendor.market_cap_check(vendor.scan_market_cap(raw))
+    return vendor.market_cap_check(vendor.scan_market_cap(raw, "close"))

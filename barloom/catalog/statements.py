@@ -64,6 +64,21 @@ def header_row(spark, sf_dir):
     return st.find_header_rows(sheet_rows(spark, sf_dir))
 
 
+@query(
+    "sheet_audit",
+    """WITH q AS (SELECT p_brand AS sheet, count(DISTINCT year(l_shipdate) * 4 + quarter(l_shipdate)) AS n
+  FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1)
+SELECT sheet, CASE WHEN n >= 4 THEN 'ok' ELSE 'refused' END AS status, 7 AS n_rows, CAST(n AS int) AS most_period_labels,
+  CASE WHEN n >= 4 THEN 1 END AS header_row FROM q
+UNION ALL SELECT 'thin ' || sheet, 'refused', 7, CAST(least(n, 3) AS int), NULL FROM q""",
+)
+def sheet_audit(spark, sf_dir):
+    """Every sheet and, of each, a copy of its first three quarters, which is refused."""
+    rows = sheet_rows(spark, sf_dir)
+    thin = rows.select(F.concat(F.lit("thin "), "sheet").alias("sheet"), "row_idx", F.slice("cells", 1, 4).alias("cells"))
+    return st.sheet_audit(rows.unionByName(thin))
+
+
 @query(
     "statement_unpivot",
     f"""WITH {QUARTERS} SELECT upper(ticker) AS Ticker, 'Balance Sheet' AS Statement, id AS Account_ID, r + 1 AS Original_Excel_Row,
@@ -118,7 +133,7 @@ def market_caps(spark, sf_dir):
     raw = bars(spark, sf_dir).select(
         "ticker", "date", "close", (F.col("close") * 1000000).alias("marketCap")
     )
-    return scan_market_cap(raw)
+    return scan_market_cap(raw, "close")
 
 
 def valuation(spark, sf_dir):
@@ -239,6 +254,6 @@ def valuation_merge(spark, sf_dir):
     left = feature_frame(spark, sf_dir, columns=["Log_Return"]).withColumn("shown", F.col("ticker")).withColumn(
         "ticker", F.upper("ticker")
     )
-    right = scan_valuation(valuation(spark, sf_dir), VALUATION)
+    right = scan_valuation(valuation(spark, sf_dir), VALUATION, "effective_date")
     merged = merge_valuation(left, right, VALUATION)
     return merged.select(F.col("shown").alias("ticker"), "date", "Log_Return", *VALUATION)

@@ -65,6 +65,60 @@ def _parse_any_date(text: Column, order: Column) -> Column:
     return bind(F.trim(text), read)
 
 
+# ---- dates of vendors, in whatever shape ---------------------------------------------------------
+
+# fixed values
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+CLOCK = r"(?:T| +)\d{1,2}:\d{2}.*$"
+ANY_ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+NUMERIC = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
+NAMED_FIRST = r"^([a-z]{3})[a-z]*\.? +(\d{1,2}),? +(\d{4})$"
+NAMED_SECOND = r"^(\d{1,2})[- ]([a-z]{3})[a-z]*\.?[- ](\d{4})$"
+EPOCH = r"^\d{9,10}(?:\d{3})?$"
+
+
+def _day_text(text: Column) -> Column:
+    """Without the time of day, in small letters."""
+    return F.lower(F.regexp_replace(F.trim(text), CLOCK, ""))
+
+
+def numeric_votes(text: Column) -> tuple[Column, Column]:
+    """Whether the first, or the second, number of a text such as 16/06/2026 can only be a day."""
+    t = _day_text(text)
+    return tuple(F.coalesce(_group(t, NUMERIC, i) > 12, F.lit(False)) for i in (1, 2))
+
+
+def vendor_date(text: Column, day_first: Column) -> Column:
+    """Date of a text in any of the shapes above; ``day_first`` decides about two numbers and a year. Seconds and milliseconds
+    since 1970 are read in UTC. Null if no shape fits or there is no such day."""
+
+    def parts(t: Column) -> Column:
+        def group(pattern, year, month, day):
+            return F.struct(*[_group(t, pattern, i).alias(n) for n, i in (("year", year), ("month", month), ("day", day))])
+
+        def named(pattern, year, month, day):
+            number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(t, pattern, month)).cast("int")
+            return F.struct(_group(t, pattern, year).alias("year"), number.alias("month"), _group(t, pattern, day).alias("day"))
+
+        return (
+            F.when(t.rlike(ANY_ISO), group(ANY_ISO, 1, 2, 3))
+            .when(t.rlike(COMPACT), group(COMPACT, 1, 2, 3))
+            .when(t.rlike(NUMERIC) & day_first, group(NUMERIC, 3, 2, 1))
+            .when(t.rlike(NUMERIC), group(NUMERIC, 3, 1, 2))
+            .when(t.rlike(NAMED_FIRST), named(NAMED_FIRST, 3, 1, 2))
+            .when(t.rlike(NAMED_SECOND), named(NAMED_SECOND, 3, 2, 1))
+        )
+
+    def read(t: Column) -> Column:
+        unit = F.when(F.length(t) > 10, 86_400_000).otherwise(86_400)
+        since = F.date_from_unix_date(F.floor(t.try_cast("bigint") / unit).cast("int"))
+        civil = bind(parts(t), lambda p: _civil(p["year"], p["month"], p["day"]))
+        return F.when(t.rlike(EPOCH), since).otherwise(civil)
+
+    return bind(_day_text(text), read)
+
+
 PERIOD_Q_FIRST = r"Q([1-4])\s*[/\-_ ]?\s*(\d{4})"
 PERIOD_YEAR_FIRST = r"(\d{4})\s*[/\-_ ]?\s*Q([1-4])"
 

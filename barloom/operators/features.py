@@ -28,14 +28,25 @@ EWMS = [
 ]
 
 
-def join_benchmark(bars: DataFrame, index_bars: DataFrame, index_id: str | None = None) -> DataFrame:
-    """Inner join on date with the benchmark, or with the one named ``index_id`` of several.
-
-    The benchmark is reduced to one row per calendar day here (of repeats the highest close), a fixed
-    bound of a few megabytes even for centuries, so it is broadcast and bars are not shuffled."""
+def one_index(index_bars: DataFrame, index_id: str | None = None) -> DataFrame:
+    """The rows of one benchmark: the one named, or of several the one with most rows (of equals the first by name), so that
+    no series is mixed from two."""
     if index_id is not None:
-        index_bars = index_bars.where(F.col("index_id") == index_id)
-    daily = index_bars.groupBy("date").agg(F.max("vn_close").alias("vn_close"))
+        return index_bars.where(F.col("index_id") == index_id)
+    if "index_id" not in index_bars.columns:
+        return index_bars
+    named = index_bars.groupBy("index_id").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(-F.col("n"), F.col("index_id"))
+    chosen = named.agg(F.min_by("index_id", order).alias("index_id"))  # one row
+    return index_bars.join(F.broadcast(chosen), "index_id", "left_semi")
+
+
+def join_benchmark(bars: DataFrame, index_bars: DataFrame, index_id: str | None = None, ordinal: str | None = None) -> DataFrame:
+    """Inner join on date with the benchmark, or with the one named ``index_id`` of several (see ``one_index``).
+
+    The benchmark is reduced to one row per calendar day here (of repeats the one with the highest ``ordinal``; without
+    one the highest close), a fixed bound of a few megabytes even for centuries, so it is broadcast and bars are not shuffled."""
+    daily = one_index(index_bars, index_id).groupBy("date").agg(F.max_by("vn_close", ordinal or "vn_close").alias("vn_close"))
     return bars.join(F.broadcast(daily), "date")
 
 

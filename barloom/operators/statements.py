@@ -102,6 +102,17 @@ def sheet_headers(rows: DataFrame) -> DataFrame:
     )
 
 
+def sheet_audit(rows: DataFrame) -> DataFrame:
+    """One row per sheet: sheet, status (``ok``, or ``refused`` where no row has enough period labels, so that the sheet gives no
+    statement), n_rows, most_period_labels of a row, header_row."""
+    labels = F.size(F.filter(F.transform("cells", parse_period), lambda p: p.isNotNull()))
+    sheets = _blank_to_null(rows).groupBy("sheet").agg(
+        F.count(F.lit(1)).cast("int").alias("n_rows"), F.max(labels).alias("most_period_labels"))
+    found = sheets.join(find_header_rows(rows), "sheet", "left")
+    status = F.when(F.col("header_row").isNull(), "refused").otherwise("ok")
+    return found.select("sheet", status.alias("status"), "n_rows", "most_period_labels", "header_row")
+
+
 def find_header_rows(rows: DataFrame) -> DataFrame:
     return sheet_headers(rows).select("sheet", "header_row")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.dates import numeric_votes, vendor_date
 from barloom.functions.numbers import finite, to_double
+from barloom.operators.perfile import with_group
+from barloom.session import written
 from barloom.sources.bars import keep_last
 
 # fixed values: where a payload keeps its rows, and the field names vendors use
@@ -43,24 +46,40 @@ def _field(names: list[str]) -> Column:
     return F.coalesce(*[F.try_element_at("record", F.lit(n)) for n in names])
 
 
-def standardize_prices(payloads: DataFrame, vendor: str) -> DataFrame:
-    """Payloads (symbol, fetched_at, body) to price history, one row per symbol and date; the last
-    record of the latest payload wins."""
-    records = extract_records(payloads)
-    rows = records.select(
-        F.col("symbol").alias("Symbol"),
-        F.try_to_date(F.substring(_field(DATE_FIELDS), 1, 10), "yyyy-MM-dd").alias("Date"),
+def dated_records(payloads: DataFrame) -> DataFrame:
+    """(Symbol, date_text, fields, ordinal, Date) of all records. A symbol's dates say by vote whether 3/4/2026 begins with the day; a
+    symbol without a telling date begins with the month. ``Date`` is null where no shape reads the text."""
+    records = written(extract_records(payloads).select(
+        F.col("symbol").alias("Symbol"), _field(DATE_FIELDS).alias("date_text"),
         *[to_double(_field(names)).alias(out) for out, names in FIELDS.items()],
         F.struct("fetched_at", "pos").alias("ordinal"),
-    ).where("Date IS NOT NULL")
+    ), "records")
+    first, second = numeric_votes(F.col("date_text"))
+    symbols = records.groupBy("Symbol").agg(F.count_if(first).alias("first"), F.count_if(second).alias("second"), F.count("*").alias("n"))
+    symbols = written(symbols.select("Symbol", "n", (F.col("first") > F.col("second")).alias("day_first")), "symbols")
+    told = with_group(records, symbols, "Symbol", "ordinal")
+    return told.withColumn("Date", vendor_date(F.col("date_text"), F.col("day_first"))).drop("day_first")
+
+
+def standardize_prices(payloads: DataFrame, vendor: str) -> DataFrame:
+    """Payloads (symbol, fetched_at, body) to price history, one row per symbol and date; the last
+    record of the latest payload wins. ``unreadable_dates`` has the records without a date."""
+    rows = dated_records(payloads).where("Date IS NOT NULL").drop("date_text")
     return keep_last(rows, ["Date", "Symbol"], "ordinal").select(
         "Date", "Symbol", *FIELDS, (F.col("MarketCap") / 1e9).alias("MarketCap_TyDong"),
         F.lit(vendor).alias("Vendor"),
     )
 
 
-def scan_market_cap(df: DataFrame, default_symbol: str | None = None, ordinal: str | None = None) -> DataFrame:
-    """(date, ticker, close, market_cap) from a table under any of the vendor field names."""
+def unreadable_dates(payloads: DataFrame) -> DataFrame:
+    """(Symbol, fetched_at, pos, date_text) of the records whose date no shape reads, or that have none."""
+    bad = dated_records(payloads).where("Date IS NULL")
+    return bad.select("Symbol", "ordinal.fetched_at", "ordinal.pos", "date_text")
+
+
+def scan_market_cap(df: DataFrame, ordinal: str, default_symbol: str | None = None) -> DataFrame:
+    """(date, ticker, close, market_cap) from a table under any of the vendor field names; of several rows of a day the
+    one with the highest ``ordinal``."""
     by_name = {c.strip(): c for c in df.columns}
 
     def pick(names: list[str], required: bool) -> Column | None:
@@ -76,7 +95,7 @@ def scan_market_cap(df: DataFrame, default_symbol: str | None = None, ordinal: s
         F.upper(symbol if symbol is not None else F.lit(default_symbol)).alias("ticker"),
         (close if close is not None else F.lit(None)).cast("double").alias("close"),
         finite(pick(FIELDS["MarketCap"], True).cast("double")).alias("market_cap"),
-        (F.col(ordinal) if ordinal else F.monotonically_increasing_id()).alias("__o"),
+        F.col(ordinal).alias("__o"),
     ).where("date IS NOT NULL")
     return keep_last(rows, ["date", "ticker"], "__o").drop("__o")
 
@@ -107,14 +126,14 @@ def scan_book_equity(df: DataFrame, ordinal: str = "quarter_end_date") -> DataFr
     return keep_last(rows, ["ticker", "effective_date"], ordinal)
 
 
-def scan_valuation(df: DataFrame, columns: list[str], ordinal: str | None = None) -> DataFrame:
-    """Valuation features found in the table, numeric, one row per ticker and date."""
+def scan_valuation(df: DataFrame, columns: list[str], ordinal: str) -> DataFrame:
+    """Valuation features found in the table, numeric, one row per ticker and date, the one with the highest ``ordinal``."""
     names = {c.strip().lower(): c for c in df.columns}
     present = [c for c in columns if c.lower() in names]
     rows = df.select(
         F.col(names["ticker"]).alias("ticker"),
         F.col(names["date"]).cast("date").alias("date"),
         *[finite(F.col(names[c.lower()]).cast("double")).alias(c) for c in present],
-        (F.col(ordinal) if ordinal else F.monotonically_increasing_id()).alias("__o"),
+        F.col(ordinal).alias("__o"),
     ).where("date IS NOT NULL")
     return keep_last(rows, ["ticker", "date"], "__o").drop("__o")

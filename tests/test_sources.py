@@ -298,3 +298,41 @@ def test_quick_and_general_number_and_date_rules_agree(spark):
         got = spark.createDataFrame([(d,) for d in days], "d string").select(
             "d", dates.parse_date(F.col("d"), F.lit(order)).alias("a"), dates._parse_any_date(F.col("d"), F.lit(order)).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in got), got
+
+
+def test_benchmarks_are_not_mixed(spark):
+    from barloom.operators.features import join_benchmark
+
+    days = [f"2026-01-0{d}" for d in range(1, 6)]
+    stock = spark.createDataFrame([("A", d, 1.0) for d in days], "ticker string, date string, close double")
+    rows = [("x", d, 5.0 + k, k) for k, d in enumerate(days)] + [("x", days[0], 4.0, 9)] + [("y", d, 50.0, 0) for d in days[:3]]
+    index = spark.createDataFrame(rows, "index_id string, date string, vn_close double, seen int")
+    joined = join_benchmark(stock, index, ordinal="seen").orderBy("date").collect()
+    assert [r["vn_close"] for r in joined] == [4.0, 6.0, 7.0, 8.0, 9.0]  # x alone, the later of its two first days
+    assert join_benchmark(stock, index, "y").count() == 3
+
+
+def test_vendor_dates_of_many_shapes(spark):
+    texts = {
+        "iso": ["2026-06-16T00:00:00", "2026/6/16", "2026.06.16 15:30"], "day": ["16/06/2026", "05/06/2026"], "month": ["06/16/2026", "05/06/2026"],
+        "open": ["05/06/2026"], "other": ["20260616", "Jun 16, 2026", "June 16 2026", "16-Jun-2026", "16 june 2026", "1781568000", "1781568000000"],
+        "bad": ["soon", "2026-02-30", "31/31/2026", "", None],
+    }
+    rows = [(s, 1, json.dumps([{"date": t, "close": k} for k, t in enumerate(ts)])) for s, ts in texts.items()]
+    df = spark.createDataFrame(rows, "symbol string, fetched_at int, body string")
+    got = {(r["Symbol"], r["ordinal"]["pos"]): str(r["Date"]) for r in vendor.dated_records(df).collect()}
+    day = "2026-06-16"
+    assert [got["iso", k] for k in range(3)] == [day] * 3 and [got["other", k] for k in range(7)] == [day] * 7
+    assert (got["day", 0], got["day", 1], got["month", 0], got["month", 1], got["open", 0]) == (day, "2026-06-05", day, "2026-05-06", "2026-05-06")
+    bad = vendor.unreadable_dates(df).collect()
+    assert {(r["Symbol"], r["pos"], r["date_text"]) for r in bad} == {("bad", k, t) for k, t in enumerate(texts["bad"])}
+    # the other records of a symbol stay
+    assert vendor.standardize_prices(df, "v").where("Symbol = 'day'").count() == 2
+
+
+def test_refused_sheets_have_a_row(spark):
+    from barloom.operators.statements import sheet_audit
+
+    rows = [("good", 0, ["Chỉ tiêu", "Q1 2024", "Q2 2024", "Q3 2024", "Q4 2024"]), ("thin", 0, ["ITEMS", "Q1 2024", None]), ("thin", 1, ["a", "1", "2"]), ("none", 0, [])]
+    found = {r["sheet"]: tuple(r)[1:] for r in sheet_audit(spark.createDataFrame(rows, "sheet string, row_idx int, cells array<string>")).collect()}
+    assert found == {"good": ("ok", 1, 4, 0), "thin": ("refused", 2, 1, None), "none": ("refused", 1, 0, None)}
