@@ -8,8 +8,8 @@ equal: names come from comparing contents, never from hashing them, so there are
 How it scales: contents move twice (once to find the distinct blocks, after a map-side combine, once to
 look names up), every later level moves three integers per pair, and there are log2(blocks of the longest
 text) levels. A name is the position in a sorted partition, so no task sees all names. A block with a
-third of all rows is combined before it is shuffled, and the look-up is a plain join whose skewed
-partitions the adaptive planner splits.
+third of all rows is combined before it is shuffled, and the rows of frequent contents, found by counting hashes, look
+their names up in a broadcast table of fewer than ``HEAVY`` rows instead of meeting in one task.
 
 Null texts count as empty. Rows repeated with id and text are kept apart by a count and all come out.
 Among equal texts the largest doc_id stays; null ids never stay beside others. Empty tables give empty
@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import apply_decisions, ascii_lower, whole
+from barloom.operators.perfile import with_group
 from barloom.session import written
 
 BLOCK_BYTES = 4096
+HEAVY = 256
 
 
 def block_rows(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -43,13 +45,26 @@ def block_rows(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
 
 
+def frequent(rows: DataFrame, contents: list[str]) -> list[int]:
+    """Hashes of the contents that more than one row in ``HEAVY`` has; fewer than ``HEAVY``, whatever the table."""
+    counts = written(rows.groupBy(F.xxhash64(*contents).alias("hash")).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r["hash"] for r in counts.where(F.col("n") * HEAVY > F.lit(total)).collect()]
+
+
 def with_names(rows: DataFrame, contents: list[str]) -> DataFrame:
-    """The rows with an integer name in place of their contents, the same for the same contents."""
+    """The rows with an integer name in place of their contents, the same for the same contents. Frequent contents get theirs
+    without moving their rows to one place; their names are odd, those of others even."""
     names = (
         rows.select(*contents).distinct().sortWithinPartitions(*contents)
-        .withColumn("name", F.monotonically_increasing_id())
+        .withColumn("name", F.monotonically_increasing_id() * 2)
     )
-    return rows.join(names, contents).drop(*contents)
+    often = frequent(rows, contents)
+    if not often:
+        return rows.join(names, contents).drop(*contents)
+    hot = F.xxhash64(*contents).isin(often)
+    few = names.where(hot).withColumn("name", F.col("name") + 1)  # fewer than HEAVY rows but for hash collisions
+    return rows.where(~hot).join(names, contents).unionByName(rows.where(hot).join(F.broadcast(few), contents)).drop(*contents)
 
 
 def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -82,8 +97,10 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, print."""
     named = document_names(docs, block_bytes)
-    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return named.join(groups, ["n_blocks", "name"]).select(
+    named = named.withColumn("group", F.concat_ws(":", "n_blocks", "name"))
+    groups = written(
+        named.groupBy("group").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.count("*").alias("n")), "groups")
+    return with_group(named, groups, "group", "doc_id").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "print",
     )

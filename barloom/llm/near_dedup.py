@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from barloom.llm.components import components
 from barloom.llm.ship import by_value
 from barloom.llm.text import apply_decisions, whole
+from barloom.operators.perfile import with_group
 from barloom.session import written
 
 by_value(__name__)
@@ -236,8 +237,8 @@ def decided(docs: DataFrame) -> DataFrame:
     labels = written(components(links.union(linked)), "labels")
 
     named = classes.select("node", "rep.doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(smallest, "label").select("node", "label", "component_id")
+    smallest = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "smallest")
+    ids = with_group(named, smallest, "label", "node").select("node", "label", "component_id")
     found = members.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(

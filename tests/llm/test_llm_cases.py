@@ -321,3 +321,29 @@ def test_pipeline_over_odd_rows(spark, docs, labels, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "empty" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_frequent_blocks_and_groups_keep_their_names(spark, monkeypatch):
+    from barloom.operators import perfile
+
+    monkeypatch.setattr(perfile, "SMALL", 0)
+    texts = ["hot " * 40] * 300 + ["Hot " * 40 + f"tail {i % 7}" for i in range(200)] + [f"text {i} " * 9 for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for heavy in (4, 256):
+        monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
+        last = {}
+        for i, t in enumerate(texts):
+            last[t.lower()] = i
+        found = exact_dedup.exact_duplicates(docs, block_bytes=16).collect()
+        assert {r["doc_id"]: r["keep_id"] for r in found} == {i: last[t.lower()] for i, t in enumerate(texts)}
+        assert {r["group_size"] for r in found if r["doc_id"] < 300} == {300}
+
+
+def test_salted_groups_equal_a_plain_join(spark):
+    from barloom.operators.perfile import with_group
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 400).cast("string")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    plain = sorted(map(tuple, rows.join(groups.drop("n"), "k").collect()))
+    for small in (0, 100_000):
+        assert sorted(map(tuple, with_group(rows, groups, "k", "id", small=small).select("k", "id", "top").collect())) == plain
