@@ -159,7 +159,8 @@ def resample(
 ) -> DataFrame:
     """One row per document: doc_id, n_features, weight, score, rank. ``rank`` counts the drawn ones, ``percent`` of the
     documents with at least ``least_words`` words, by score; others have none."""
-    scored = weights(docs, target, longest, buckets).withColumn("score", F.col("weight") + noise(seed))
+    # written, because a range partitioning reads its rows twice
+    scored = written(weights(docs, target, longest, buckets).withColumn("score", F.col("weight") + noise(seed)), "weights")
     order = [F.col("eligible").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("print")]
     dealt = written(
         scored.withColumn("eligible", F.col("n_words") >= least_words).repartitionByRange(*order).sortWithinPartitions(*order)
