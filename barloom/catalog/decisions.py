@@ -9,11 +9,12 @@ from barloom.catalog import features as _families, statements as _statements  #
 from barloom.catalog.base import BARS, QUERIES, RETURNS, feature_frame, query, roll
 from barloom.catalog.evaluation import (
     DIAGNOSED, FIXED, GRADE_COLUMNS, GRADE_DIGITS, GRADE_SQL, GRID, KEYS, PERIOD_JOINED, S1, S3, best_sql, complete,
-    SHORT_PERIODS, SHORT_ROWS, frame, frame_sql, graded_sql, metrics, period_joined, periods_frame, scores,
+    NEEDED, SHORT_PERIODS, SHORT_ROWS, labels_sql, frame, frame_sql, graded_sql, metrics, period_joined, periods_frame, scores,
 )
 from barloom.operators import decide as D
 from barloom.operators import stability as S
-from barloom.operators.labels import latest_complete
+from barloom.operators.evaluate import fold_scalers
+from barloom.operators.labels import enough_rows, label_frame, label_setups, latest_complete
 from barloom.operators.registry import VALUATION, feature_health, feature_sets
 from barloom.operators.valuation import merge_valuation
 from barloom.plans import search, signal
@@ -103,6 +104,28 @@ def feature_health_registry(spark, sf_dir):
     return health.withColumn("Mean", F.when(F.abs("Mean") < F.col("Std") * 1e-9, 0.0).otherwise(F.col("Mean")))
 
 
+BASELINE = REGISTRY["baseline"]
+
+
+@query(
+    "fold_scaler_set",
+    f"""WITH RECURSIVE {labels_sql(label_setups(FIXED))}, v AS MATERIALIZED (SELECT b.ticker, b.date, {', '.join(map(_column, BASELINE))}
+  FROM (SELECT ticker, date, volume FROM bars) b {_JOINED}),
+x AS (SELECT ticker, date, Feature, value FROM v UNPIVOT (value FOR Feature IN ({', '.join(f'"{c}"' for c in BASELINE)})) u),
+stats AS (SELECT ticker, la AS LOOKAHEAD, tp AS TP, sl AS SL, fold AS Fold, Feature, count(*) AS Train_Count, avg(value) AS mean, stddev_pop(value) AS sd
+  FROM lab JOIN (VALUES (1), (2), (3)) k(fold) ON segment < fold JOIN x USING (ticker, date) GROUP BY ALL)
+SELECT * EXCLUDE (mean, sd), CASE WHEN abs(mean) < sd * 1e-9 THEN 0 ELSE mean END AS Mean, sd AS Std FROM stats""",
+    significant={"Mean": 6, "Std": 6},
+)
+def fold_scaler_set(spark, sf_dir):
+    """The scaler of every column of the baseline set, per training fold."""
+    features = feature_frame(spark, sf_dir, columns=sorted({*BASELINE, *NEEDED}))
+    rounded = features.withColumns({c: F.round(c, NOISE_DIGITS) for c in NOISY if c in BASELINE})
+    labeled = label_frame(rounded, KEYS, label_setups(FIXED), complete(), BASELINE).where(enough_rows())
+    stats = fold_scalers(labeled, KEYS, BASELINE)
+    return stats.withColumn("Mean", F.when(F.abs("Mean") < F.col("Std") * 1e-9, 0.0).otherwise(F.col("Mean")))
+
+
 # ---- experiments ---------------------------------------------------------------------------------
 
 

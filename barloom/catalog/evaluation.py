@@ -24,7 +24,11 @@ WIDE = {
     "lookahead": [5, 10], "tp": [0.60, 1.50], "sl": [-0.40, -0.70],
     "threshold": [0.50, 0.55, 0.60, 0.65, 0.70], "max_avg_holding_days": 15.0, "max_timeout_rate": 0.40,
 }
-SETUPS = K.profile_setups({**K.PROFILES, "WIDE": WIDE})
+#: a near target and a far stop, so that setups pass every gate of the diagnostics
+EASY = {
+    "lookahead": [20], "tp": [0.02, 0.05], "sl": [-0.90], "threshold": [0.50, 0.60], "max_avg_holding_days": 15.0, "max_timeout_rate": 0.40,
+}
+SETUPS = K.profile_setups({**K.PROFILES, "WIDE": WIDE, "EASY": EASY})
 GLOBAL = K.grid_rows("GLOBAL", K.GLOBAL_GRID)
 FIXED = [s for s in SETUPS if s["Profile"] == "SWING" and s["LOOKAHEAD"] == 20 and s["TP"] == 0.10
          and s["SL"] == -0.07 and s["THRESH"] == 0.50]
@@ -55,6 +59,11 @@ def one_score():
     return {"baseline": F.col("RSI_14") / 100}
 
 
+def contrarian_score():
+    """High after falls, so that in a series that returns to its mean setups beat the base rate."""
+    return {"baseline": 1 - F.col("RSI_14") / 100}
+
+
 def complete():
     return complete_rows(NEEDED)
 
@@ -226,6 +235,7 @@ GRADE_COLUMNS = [
 GRADE_DIGITS = {**METRIC_DIGITS, "Score": 8, "Breakeven_Precision": 9, "Edge_vs_Breakeven": 9}
 
 S1 = {"baseline": "s1"}
+CONTRARIAN = {"baseline": "(1 - s1)"}
 S3 = {"baseline": "s1", "candidate_recovery_v1": "s2", "candidate_trend_recovery_v1": "s3", "candidate_quiet_v1": "s3 / 10"}
 LABEL_GRID = [(20, 0.60, -0.40)]
 ALL_LABELS = label_setups(SETUPS)
@@ -404,12 +414,12 @@ DIAGNOSED = """diag AS MATERIALIZED (SELECT *, concat_ws(',', CASE WHEN valid <
 
 @query(
     "reject_reasons",
-    f"""WITH RECURSIVE {graded_sql(SETUPS, S1)}, {DIAGNOSED} SELECT ticker, profile AS Profile, reasons AS Reject_Reasons,
+    f"""WITH RECURSIVE {graded_sql(SETUPS, CONTRARIAN)}, {DIAGNOSED} SELECT ticker, profile AS Profile, reasons AS Reject_Reasons,
   reasons = '' AS Valid, {METRIC_SQL}, score AS Score FROM diag""",
     {**METRIC_DIGITS, "Score": 8},
 )
 def reject_reasons(spark, sf_dir):
-    diagnostics, _ = search.optimize_profiles(metrics(spark, sf_dir), SETUPS, KEYS)
+    diagnostics, _ = search.optimize_profiles(metrics(spark, sf_dir, scored=contrarian_score), SETUPS, KEYS)
     return diagnostics.select("ticker", "Profile", "Reject_Reasons", "Valid", *METRIC_COLUMNS, "Score")
 
 
@@ -427,13 +437,13 @@ def diagnostics_ranking(spark, sf_dir):
 
 @query(
     "profile_best_valid",
-    f"""WITH RECURSIVE {graded_sql(SETUPS, S1)}, {DIAGNOSED} SELECT ticker, profile AS Profile, {METRIC_SQL}, score AS Score
+    f"""WITH RECURSIVE {graded_sql(SETUPS, CONTRARIAN)}, {DIAGNOSED} SELECT ticker, profile AS Profile, {METRIC_SQL}, score AS Score
 FROM (SELECT *, row_number() OVER (PARTITION BY ticker, profile ORDER BY round(score, 10) DESC, ordinal) AS pick
   FROM diag WHERE reasons = '') r WHERE pick = 1""",
     {**METRIC_DIGITS, "Score": 8},
 )
 def profile_best_valid(spark, sf_dir):
-    _, best = search.optimize_profiles(metrics(spark, sf_dir), SETUPS, KEYS)
+    _, best = search.optimize_profiles(metrics(spark, sf_dir, scored=contrarian_score), SETUPS, KEYS)
     return best.select("ticker", "Profile", *METRIC_COLUMNS, "Score")
 
 
@@ -452,14 +462,21 @@ def global_grid_best(spark, sf_dir):
 
 @query(
     "resolved_setups",
-    f"""WITH RECURSIVE {graded_sql(SETUPS, S1)}, {DIAGNOSED},
-valid_best AS (SELECT * FROM diag WHERE reasons = ''),
-pool AS (SELECT ticker, profile, la, tp, sl, th, score, 'best_params' AS source, 1 AS priority FROM valid_best
+    f"""WITH RECURSIVE {graded_sql(SETUPS, CONTRARIAN)}, {DIAGNOSED},
+valid_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, profile ORDER BY round(score, 10) DESC, ordinal) AS first
+    FROM diag WHERE reasons = '' AND ticker NOT LIKE 'Brand#2%') r WHERE first = 1),
+pool AS (SELECT DISTINCT p_brand AS ticker, 'WIDE' AS profile, 5 AS la, 0.6::double AS tp, -0.4::double AS sl, 0.5::double AS th,
+    NULL::double AS score, 'cli_explicit' AS source, 0 AS priority FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_brand LIKE 'Brand#1%'
+  UNION ALL SELECT ticker, profile, la, tp, sl, th, score, 'best_params', 1 FROM valid_best
   UNION ALL SELECT ticker, profile, la, tp, sl, th, score, 'setup_diagnostics_fallback', 2 FROM diag)
 SELECT ticker, profile AS Profile, la AS LOOKAHEAD, tp AS TP, sl AS SL, th AS THRESH, source AS Setup_Source
 FROM (SELECT *, row_number() OVER (PARTITION BY ticker, profile ORDER BY priority, round(score, 10) DESC, la, tp, sl, th) AS pick FROM pool) r
 WHERE pick = 1""",
 )
 def resolved_setups(spark, sf_dir):
-    diagnostics, best = search.optimize_profiles(metrics(spark, sf_dir), SETUPS, KEYS)
-    return search.resolve_setups(None, best, diagnostics, ["ticker", "Profile"])
+    diagnostics, best = search.optimize_profiles(metrics(spark, sf_dir, scored=contrarian_score), SETUPS, KEYS)
+    # some tickers have a setup of their own for one profile, some have no best parameters
+    best = best.where("ticker NOT LIKE 'Brand#2%'")
+    explicit = bars(spark, sf_dir).select("ticker").distinct().where("ticker LIKE 'Brand#1%'").select(
+        "ticker", F.lit("WIDE").alias("Profile"), F.lit(5).alias("LOOKAHEAD"), F.lit(0.6).alias("TP"), F.lit(-0.4).alias("SL"), F.lit(0.5).alias("THRESH"))
+    return search.resolve_setups(explicit, best, diagnostics, ["ticker", "Profile"])
