@@ -207,8 +207,11 @@ def daily_unique(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 
 def clean_bars(typed: DataFrame) -> DataFrame:
-    """Complete rows, one per file and date, the last one winning."""
-    return keep_last(typed.where(has_core()), ["file", "Date"], "ordinal")
+    """Complete rows, one per file and date, the last one winning. Completeness is asked inside the aggregate: a filter
+    would be pushed below the parsing and repeat it."""
+    rest = [c for c in typed.columns if c not in ("file", "Date")]
+    last = typed.groupBy("file", "Date").agg(F.max_by(F.struct(*rest), F.when(has_core(), F.col("ordinal"))).alias("row"))
+    return last.where("row IS NOT NULL").select("file", "Date", "row.*")
 
 
 def ohlc_invalid() -> Column:
@@ -310,6 +313,12 @@ def load_bars(df: DataFrame, benchmark: bool = False) -> DataFrame:
     )
 
 
+def bucketed_bars(spark: SparkSession, table: str, tickers: list[str] | None = None) -> DataFrame:
+    """Bars of a table written by ``results.save_bucketed``; naming tickers prunes the buckets read."""
+    df = spark.table(table)
+    return df if tickers is None else df.where(F.col("ticker").isin(tickers))
+
+
 def ticker_bars(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
     """Bars written with ``partitionBy('ticker')``; naming tickers prunes the folders read."""
     df = spark.read.parquet(path)
