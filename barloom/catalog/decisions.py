@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom import contracts as K
@@ -19,7 +21,8 @@ from barloom.operators.registry import VALUATION, feature_health, feature_sets
 from barloom.operators.valuation import merge_valuation
 from barloom.plans import search, signal
 from barloom.plans import walkforward as W
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, work_folder
+from barloom.sources import results
 
 SWING = K.grid_rows("SWING", K.PROFILES["SWING"])
 COST, MIN_EDGE = 0.003, 0.02
@@ -416,6 +419,24 @@ def grid(spark, sf_dir):
     return stable
 
 
+@query(
+    "grid_result_scan",
+    f"""WITH RECURSIVE {PERIOD_GRID} SELECT Feature_Set, CAST(LOOKAHEAD AS double) AS LOOKAHEAD, TP, SL, THRESH,
+  CAST(Pass_Periods AS double) AS Pass_Periods, Avg_Edge, Min_Edge, Avg_Return, CAST(Total_Trades AS double) AS Total_Trades,
+  Frozen_Strict_Candidate, true AS Tagged FROM gs""",
+    {c: STABLE_DIGITS[c] for c in ("Avg_Edge", "Min_Edge", "Avg_Return")},
+)
+def grid_result_scan(spark, sf_dir):
+    """Grid results written as CSV files, a folder per ticker, and found again beside files that are none."""
+    path = f"{work_folder(spark).rstrip('/')}/grid-results-{uuid.uuid4().hex}"
+    stable = cut_lineage(grid(spark, sf_dir))
+    results.save(stable.withColumn("folder", F.col("ticker")), f"{path}/grid", "csv", ["folder"])
+    results.save(stable.select("ticker", "Feature_Set"), f"{path}/other", "csv")
+    found = results.scan_grid_results(spark, path)
+    tagged = F.startswith("Source_File", F.lit("grid/folder=")) & F.col("Source_Modified").isNotNull()
+    return found.withColumn("Tagged", tagged).drop("Source_File", "Source_Modified")
+
+
 @query(
     "frozen_grid_stability",
     f"WITH RECURSIVE {PERIOD_GRID} SELECT *, {_RANKED.format(order=_order(S.GRID_ORDER, 'Setup_ID'))} FROM gs",

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from barloom.catalog.base import (
-    BARS, INDEX_BARS, JOINED, RETURNS, bars, ewm_cte, feature_frame, index_bars, joined, lag, query, roll,
+    QUERIES, BARS, INDEX_BARS, JOINED, RETURNS, bars, ewm_cte, feature_frame, index_bars, joined, lag, query, roll,
 )
+from barloom.operators.features import add_features, join_benchmark
+from barloom.sources.bars import bucketed_bars
+from barloom.sources.results import save_bucketed
 
 ID = ["ticker", "date"]
 
@@ -39,6 +44,16 @@ SELECT ticker, date, 100 - 100 / (1 + g / (l + 1e-9)) AS RSI_14 FROM ret JOIN e
     {"RSI_14": 5},
 )
 
+
+@query("bucketed_features", QUERIES["rsi_14"].sql, {"RSI_14": 5})
+def bucketed_features(spark, sf_dir):
+    """Bars kept in a bucketed table, from which the feature stack needs no shuffle."""
+    table = "bars_" + hashlib.md5(f"{spark.sparkContext.applicationId} {sf_dir}".encode()).hexdigest()
+    save_bucketed(bars(spark, sf_dir), table, ["ticker"], buckets=8)
+    stored = join_benchmark(bucketed_bars(spark, table), index_bars(spark, sf_dir))
+    return add_features(stored, columns=["RSI_14"]).select(*ID, "RSI_14")
+
+
 _family(
     "ema_structure",
     f"""WITH RECURSIVE {RETURNS},
@@ -92,9 +107,9 @@ _family(
     f"""WITH {RETURNS}, n AS (SELECT ticker, date, net_volume_foreign AS v,
   {roll('sum', 'net_volume_foreign', 5)} AS s5, {roll('avg', 'net_volume_foreign', 20)} AS m20,
   {roll('stddev_samp', 'net_volume_foreign', 20)} AS d20, {roll('sum', 'volume', 5)} AS v5 FROM ret)
-SELECT ticker, date, s5 AS Foreign_Net_5D, m20 AS Foreign_Net_20D_Mean,
+SELECT ticker, date, s5 AS Foreign_Net_5D, m20 AS Foreign_Net_20D_Mean, d20 AS Foreign_Net_20D_Std,
   (v - m20) / (d20 + 1e-9) AS Foreign_Mutation, s5 / (v5 + 1e-9) AS Foreign_Net_5D_Ratio FROM n""",
-    {"Foreign_Net_5D": 2, "Foreign_Net_20D_Mean": 4, "Foreign_Mutation": 4, "Foreign_Net_5D_Ratio": 6},
+    {"Foreign_Net_5D": 2, "Foreign_Net_20D_Mean": 4, "Foreign_Net_20D_Std": 4, "Foreign_Mutation": 4, "Foreign_Net_5D_Ratio": 6},
 )
 
 _family(

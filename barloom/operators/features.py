@@ -196,6 +196,7 @@ def add_features(
         "Market_Distance_EMA": lambda: _relative(vn, c("vn_ema20")),
         "Foreign_Net_5D": lambda: flow(lambda: c("n_sum5")),
         "Foreign_Net_20D_Mean": lambda: flow(lambda: c("n_mean20")),
+        "Foreign_Net_20D_Std": lambda: flow(lambda: c("n_std20")),
         "Foreign_Mutation": lambda: flow(lambda: (net - c("n_mean20")) / (c("n_std20") + EPS)),
         # momentum
         "Abs_Momentum_14": lambda: close - c("c14"),

@@ -50,3 +50,21 @@ def test_grid_search_needs_no_shuffle_beyond_the_feature_stack(spark, small_sf):
 
 def test_date_votes_need_no_window(spark, small_sf):
     assert "Window" not in plan_of(QUERIES["date_order_detect"].run(spark, small_sf))
+
+
+def test_features_over_a_bucketed_table_need_no_shuffle(spark, small_sf):
+    plan = plan_of(QUERIES["bucketed_features"].run(spark, small_sf))
+    bars = plan[: plan.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning(ticker" not in plan and "Bucketed: true" in plan and "Window" in bars
+
+
+def test_named_tickers_read_their_buckets(spark):
+    from barloom.sources.bars import bucketed_bars
+    from barloom.sources.results import save_bucketed
+
+    rows = spark.range(100).selectExpr("concat('T', id % 10) ticker", "date_add(date'2026-01-01', cast(id as int)) date", "id close")
+    save_bucketed(rows, "pruned_bars", ["ticker"], buckets=16)
+    one = bucketed_bars(spark, "pruned_bars", ["T3"])
+    assert one.count() == 10 and bucketed_bars(spark, "pruned_bars").count() == 100
+    grouped = plan_of(one.groupBy("ticker").count())
+    assert "SelectedBucketsCount: 1 out of 16" in grouped and "Exchange" not in grouped
