@@ -395,7 +395,7 @@ def fixed_setup_results(spark, sf_dir):
 @query(
     "reoptimized_best",
     f"""WITH RECURSIVE {best_sql(SETUPS, S1)} SELECT ticker, fs AS Feature_Set, profile AS Profile, {GRADE_SQL},
-  CASE profile WHEN 'FAST_SWING' THEN 40 WHEN 'SWING' THEN 60 WHEN 'POSITION' THEN 90 ELSE 40 END AS Evaluated_Setups FROM best""",
+  CASE profile WHEN 'FAST_SWING' THEN 40 WHEN 'SWING' THEN 60 WHEN 'POSITION' THEN 90 WHEN 'EASY' THEN 4 ELSE 40 END AS Evaluated_Setups FROM best""",
     GRADE_DIGITS,
 )
 def reoptimized_best(spark, sf_dir):
