@@ -26,9 +26,14 @@ def build_session(app_name: str = "barloom", master: str | None = None, **extra:
 
 def work_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, a
-    folder beside the warehouse tables, which driver and executors share as well."""
+    folder beside the warehouse tables, unless that lies on one machine of several."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse.rstrip("/") + "/_work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -68,3 +68,20 @@ def test_named_tickers_read_their_buckets(spark):
     assert one.count() == 10 and bucketed_bars(spark, "pruned_bars").count() == 100
     grouped = plan_of(one.groupBy("ticker").count())
     assert "SelectedBucketsCount: 1 out of 16" in grouped and "Exchange" not in grouped
+
+
+def test_work_folder_is_never_local_to_one_machine_of_several():
+    from types import SimpleNamespace
+
+    from barloom.session import work_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.replace(".", "_"), default)),
+            sparkContext=SimpleNamespace(master=master))
+
+    assert work_folder(session("spark://h:7077", spark_checkpoint_dir="hdfs:/w")) == "hdfs:/w"
+    assert work_folder(session("local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_work"
+    assert work_folder(session("yarn", spark_sql_warehouse_dir="hdfs://n/w")) == "hdfs://n/w/_work"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(session("yarn", spark_sql_warehouse_dir="file:/w"))
