@@ -208,6 +208,31 @@ def test_classifier(docs, labels, spark):
     assert quality_classifier.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_classifier_fits_on_every_label(spark):
+    ids = spark.range(32_000, numPartitions=4)
+    # the good documents of the higher ids are longer, so that weights and threshold of a part differ from those of all
+    words = F.when(F.col("id") % 8 == 0, F.lit(3)).otherwise(20 + F.col("id") / 400).cast("int")
+    docs = ids.select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.concat(F.lit("w"), "id"), words), " ").alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 8 == 0, 0).otherwise(1).alias("quality"))
+    told = quality_classifier.described(docs)
+    model = quality_classifier.fit(told, labels)
+    good = told.where("doc_id % 8 <> 0").where(quality_classifier.remainder() != 0)
+    low = good.agg(F.percentile(model.worth(), quality_classifier.LOSS)).first()[0]
+    bad = told.where("doc_id % 8 = 0").where(quality_classifier.remainder() != 0)
+    high = bad.agg(F.percentile(model.worth(), 1 - quality_classifier.LOSS)).first()[0]
+    assert good.count() > 20_000 and model.threshold == pytest.approx(low if high >= low else (low + high) / 2, rel=1e-12)
+    rows = quality_classifier.labelled(labels).withColumn("x", F.lit(0))
+    places = quality_classifier.placed(rows).orderBy("good", F.xxhash64("doc_id", F.lit(7)), "doc_id").collect()
+    assert [r["place"] for r in places] == [*range(bad.count()), *range(good.count())]
+
+
+@pytest.mark.parametrize("values, share", [([3.0], 0.005), ([1.0, 2.0], 0.3), ([0.0] * 50_000 + [1.0] * 60, 0.999), (range(30_000), 0.005), (range(30_000), 0.995)])
+def test_quantile_is_exact(spark, values, share):
+    rows = spark.createDataFrame([(float(v),) for v in values], "w double")
+    exact = rows.agg(F.percentile("w", share)).first()[0]
+    assert quality_classifier.quantile(rows, F.col("w"), share) == pytest.approx(exact, rel=1e-12)
+
+
 def test_urls(pages):
     rows = url_filter.judge(pages).orderBy("page_id").collect()
     assert len(rows) == 10 and rows[4]["rule"] == "example.com/en/" and rows[4]["host"] == "x.example.com" and rows[5]["path"] == ""
