@@ -7,8 +7,9 @@ most ``HEAVY`` such groups whatever the size of the table, so that their names m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SMALL = 10_000
 HEAVY = 256
@@ -29,3 +30,20 @@ def with_group(
         "__copy", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))))
     salted = rows.withColumn("__copy", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(copies))).otherwise(0).cast("int"))
     return salted.join(dealt, [key, "__copy"]).drop("__copy")
+
+
+def leading(rows: DataFrame, order: str = "ordinal") -> Column:
+    """``order``, or its first part if it is a struct: a number is compared in a hash table, a struct only after sorting."""
+    kind = rows.schema[order].dataType
+    return F.col(order)[kind.fieldNames()[0]] if isinstance(kind, StructType) else F.col(order)
+
+
+def least_rows(rows: DataFrame, groups: DataFrame, key: str = "file", order: str = "ordinal", small: int = SMALL) -> DataFrame:
+    """The rows whose ``leading`` part is ``least`` in their group, with ``n``. The first row by ``order`` is among them, and all
+    others are spared the sorting. ``groups``: (key, n, least)."""
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # rows without a name are a group too
+    told = rows.withColumns({"leading": leading(rows, order), "named": named})
+    least = groups.select(named.alias("named"), "least", "n", F.col("n").alias("rows"))
+    told = with_group(told, least, "named", order, count="rows", small=small)
+    # in a struct a null comes first
+    return told.where("leading is null or leading = least").select(*rows.columns, "n")

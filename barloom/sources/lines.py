@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.perfile import SMALL, with_group
+from barloom.operators.perfile import SMALL, least_rows, with_group
 from barloom.session import written
 
 # fixed values
@@ -121,21 +121,28 @@ def split_cells(text: Column, separator: str) -> Column:
 # ---- files ---------------------------------------------------------------------------------------
 
 
-def file_profile(lines: DataFrame) -> DataFrame:
+def file_profile(lines: DataFrame, small: int = SMALL) -> DataFrame:
     """Per file: number of lines, code page, separator (the one most frequent in the first line that is not blank), and
     whether a line may open a cell that it does not close."""
     latin = as_latin("text")
     quote = F.contains("text", F.lit('"'))
-    open_any = F.lit(False)
+    # what any separator needs: a quote that begins a cell, and after it none but doubled ones
+    open_any = latin.rlike(f'(?:^|[{"".join(map(re.escape, SEPARATORS))}])"{QUOTED}$')
+    one_of = F.lit(False)
     for s in SEPARATORS:
-        open_any = open_any | opens(latin, s)
+        one_of = one_of | opens(latin, s)
+    open_any = open_any & one_of
     filled = F.trim(latin) != ""
     files = lines.groupBy("file").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by(F.when(filled, latin), F.when(filled, F.col("ordinal"))).alias("header"),
+        F.min(F.when(filled, F.col("ordinal.block"))).alias("least"),
         first_page(F.is_valid_utf8("text"), latin).alias("page"),
         F.bool_or(F.when(quote, open_any).otherwise(False)).alias("spans"),
     )
+    files = written(files, "file-marks")
+    first = least_rows(lines, files.select("file", "n", "least"), small=small).where(filled).groupBy("file").agg(
+        F.min_by(latin, "ordinal").alias("header"))
+    files = files.join(first, "file", "left")
     counts = F.array(*[
         F.struct((F.length("header") - F.length(F.translate("header", s, ""))).alias("n"), F.lit(-i).alias("i"))
         for i, s in enumerate(SEPARATORS)
@@ -159,59 +166,67 @@ def state_after(start: Column, last: Column, swaps: Column) -> Column:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines (file, ordinal, text, sep, ...) with ``record``, the number of the record in its file; null in files that end
-    inside a quoted cell."""
+    """Lines (file, ordinal, text, sep, ...) with ``record``, the number of the record in its file, and ``part``: null, but in files that
+    end inside a quoted cell the block, inside which each line is a record of its own.
+
+    A block is gone through once, for both states it may start in; its last line then tells what it does as a whole."""
     quote = F.contains("text", F.lit('"'))
     told = lines.withColumns({
         "f_out": F.when(quote, by_separator(F.col("sep"), lambda s: opens(F.col("text"), s))).otherwise(False),
         "f_in": F.when(quote, by_separator(F.col("sep"), lambda s: stays_open(F.col("text"), s))).otherwise(True),
         "block": F.col("ordinal.block"), "line": F.col("ordinal.line"),
     })
-    sets, swap = F.col("f_out") == F.col("f_in"), F.col("f_out") & ~F.col("f_in")
-    # inside a block: what its lines so far do together
-    told = written(marked(told, ["file", "block"], "line", sets, F.col("f_out"), swap).drop("f_out", "f_in"), "marked-lines")
-    # over the blocks of a file, a row each: a block that does not set the state keeps or swaps it
-    blocks = told.groupBy("file", "block").agg(F.max_by(F.struct("last", "swaps"), "line").alias("all")).select(
-        "file", "block", F.col("all.last").isNotNull().alias("sets"),
-        state_after(F.lit(False), F.col("all.last"), F.col("all.swaps")).alias("ends"),
+    sets, swap = F.col("f_out") == F.col("f_in"), (F.col("f_out") & ~F.col("f_in")).cast("int")
+    by_line = Window.partitionBy("file", "block").orderBy("line")
+    above = by_line.rowsBetween(Window.unboundedPreceding, -1)
+    told = told.select(
+        "*", F.coalesce(F.sum(swap).over(above), F.lit(0)).alias("swaps"), F.row_number().over(by_line).alias("nth"),
+        F.lead(F.lit(1)).over(by_line).isNull().alias("ends"),
     )
-    blocks = marked(blocks, ["file"], "block", F.col("sets"), F.col("ends"), ~F.col("sets") & F.col("ends"))
+    mark = F.when(sets, F.struct(F.col("f_out").alias("value"), (F.col("swaps") + swap).alias("swaps")))
+    told = told.withColumn("last", F.last(mark, ignorenulls=True).over(above))
+    # the state before a line and after it, if the block starts outside, or inside a quoted cell
+    inside = {name: state_after(F.lit(start), F.col("last"), F.col("swaps")) for name, start in (("out", False), ("in", True))}
+    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    told = told.select(
+        *lines.columns, "block", "nth", "ends",
+        *[F.when(before, F.col("f_in")).otherwise(F.col("f_out")).alias(f"after_{name}") for name, before in inside.items()],
+        *[F.sum((~before).cast("long")).over(so_far).alias(f"starts_{name}") for name, before in inside.items()],
+    )
+    told = written(told, "marked-lines")
+    # over the blocks of a file, a row each: a block that does not set the state keeps or swaps it
+    blocks = told.where("ends").select("file", "block", "after_out", "after_in", "starts_out", "starts_in")
+    sets, swap = F.col("after_out") == F.col("after_in"), F.col("after_out") & ~F.col("after_in")
+    blocks = marked(blocks, ["file"], "block", sets, F.col("after_out"), swap)
     blocks = blocks.withColumn("after", state_after(F.lit(False), F.col("last"), F.col("swaps")))
     file_so_far = Window.partitionBy("file").orderBy("block")
-    whole_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.select(
-        "file", "block", F.coalesce(F.lag("after").over(file_so_far), F.lit(False)).alias("start"),
-        F.last("after").over(whole_file).alias("unclosed"),
+    whole_file = file_so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.withColumn("start", F.lag("after", 1, False).over(file_so_far)).withColumn("unclosed", F.last("after").over(whole_file))
+    held = F.when(F.col("start"), F.col("starts_in")).otherwise(F.col("starts_out"))
+    before = F.sum(held).over(file_so_far.rowsBetween(Window.unboundedPreceding, 0)) - held
+    blocks = blocks.select("file", "block", "start", "unclosed", before.alias("before"))
+    starts = F.when(F.col("start"), F.col("starts_in")).otherwise(F.col("starts_out"))
+    return told.join(written(blocks, "blocks"), ["file", "block"]).select(
+        *lines.columns, F.when(F.col("unclosed"), F.col("block")).alias("part"),
+        F.when(F.col("unclosed"), F.col("nth")).otherwise(F.col("before") + starts).alias("record"),
     )
-    told = told.join(blocks, ["file", "block"])
-    by_line = Window.partitionBy("file", "block").orderBy("line")
-    after = state_after(F.col("start"), F.col("last"), F.col("swaps"))
-    told = told.withColumn("after", after).withColumn("inside", F.coalesce(F.lag("after").over(by_line), F.col("start")))
-    told = told.withColumn("starts", F.sum((~F.col("inside")).cast("long")).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = told.groupBy("file", "block").agg(F.max("starts").alias("held"))
-    offsets = totals.select(
-        "file", "block", (F.sum("held").over(file_so_far.rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("offset"))
-    record = F.when(~F.col("unclosed"), F.col("offset") + F.col("starts"))
-    return told.join(offsets, ["file", "block"]).select(*lines.columns, record.alias("record"))
 
 
 def records(lines: DataFrame) -> DataFrame:
     """Lines of files with quoted cells over several lines to records, under the ordinal of their first line."""
-    told = numbered(lines)
-    single = told.where("record is null").drop("record")
     rest = [c for c in lines.columns if c not in ("file", "ordinal", "text")]
-    joined = told.where("record is not null").groupBy("file", "record").agg(
-        F.min("ordinal").alias("ordinal"), F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("parts"),
-        *[F.first(c).alias(c) for c in rest],
-    ).withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
-    return joined.select(*lines.columns).unionByName(single)
+    joined = numbered(lines).groupBy("file", "part", "record").agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("parts"), *[F.first(c).alias(c) for c in rest],
+    ).withColumns({"ordinal": F.get("parts", F.lit(0))["ordinal"], "text": F.array_join(F.col("parts.text"), "\n")})
+    return joined.select(*lines.columns)
 
 
 def parse_lines(lines: DataFrame, small: int = SMALL) -> DataFrame:
     """(file, ordinal, modified, cells) from lines (file, ordinal, text, modified). ``small``: files whose profiles are broadcast."""
-    profile = written(file_profile(lines), "files")
+    profile = written(file_profile(lines, small), "files")
     told = with_group(lines, profile, "file", "ordinal", small=small)
-    told = told.withColumn("text", F.regexp_replace(decoded(F.col("text"), F.col("page")), f"^{BOM}", "")).drop("page")
+    text = decoded(F.col("text"), F.col("page"))
+    told = told.withColumn("text", F.when(F.startswith(text, F.lit(BOM)), F.substring(text, 2, 2**31 - 1)).otherwise(text)).drop("page")
     spanning = records(told.where("spans").drop("spans"))
     cut = told.where("not spans").drop("spans").unionByName(spanning).where(F.trim("text") != "")
     return cut.select("file", "ordinal", "modified", by_separator(F.col("sep"), lambda s: split_cells(F.col("text"), s)).alias("cells"))
