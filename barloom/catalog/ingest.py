@@ -8,6 +8,7 @@ from barloom.catalog.base import BARS, bars, cents, query, table, trades
 from barloom.functions.dates import parse_date
 from barloom.functions.numbers import is_close, parse_number, safe_float, strict_bool, value_matches
 from barloom.functions.text import clean_account_name, normalize_header, normalize_text
+from barloom.session import written
 from barloom.sources import bars as market
 from barloom.sources import vendor
 
@@ -125,9 +126,10 @@ def _date_style():
 def raw_rows(spark, sf_dir):
     """(file, ordinal, cells) with a header row per file and duplicate, incomplete and invalid rows."""
     t = trades(spark, sf_dir)
-    c = cents()
-    day = F.col("l_shipdate").cast("date")
-    dd, mm, yy = F.date_format(day, "dd"), F.date_format(day, "MM"), F.date_format(day, "yyyy")
+    types = dict(t.dtypes)
+    t = t.withColumns({"c": cents(), "day": F.col("l_shipdate").cast("date").cast("string")})
+    c, day = F.col("c"), F.col("day")
+    yy, mm, dd = F.substring(day, 1, 4), F.substring(day, 6, 2), F.substring(day, 9, 2)
     style = _date_style()
     date_text = (
         F.when(style == 0, F.concat_ws("/", dd, mm, yy))
@@ -154,7 +156,7 @@ def raw_rows(spark, sf_dir):
     )
     zero = F.struct(
         F.lit(0).cast("bigint").alias("l_orderkey"),
-        *[F.lit(0).cast(dict(t.dtypes)[k]).alias(k) for k in KEY[1:]],
+        *[F.lit(0).cast(types[k]).alias(k) for k in KEY[1:]],
     )
     names = ["Ngày", "Giá mở cửa", "Cao", "Thấp", "Lần cuối", "Đóng cửa", "Khối lượng"]
     english = ["Trading_Date", "Open Price", "HIGH", "low", "Last", "Close", "Vol."]
@@ -296,8 +298,10 @@ def raw_csv_scan(spark, sf_dir):
         F.col("ticker").alias("file"), F.lit(-1).cast("bigint").alias("block"), separator.alias("sep"),
         *[F.lit(0).cast(types[k]).alias(k) for k in KEY])
     head = _text_lines(heads, F.concat(F.lit("a"), "sep", F.lit('"b\n(text)"'), "sep", F.lit("c")), [F.col(k) for k in KEY])
-    cells = market.parse_lines(body.unionByName(head))
-    return cells.where("cells[0] <> 'a'").select("file", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+    cells = market.parse_lines(written(body.unionByName(head), "lines"))
+    # as a generator: a filter would be pushed below the cutting and repeat it
+    cells = cells.select("file", F.explode(F.filter(F.array("cells"), lambda c: F.get(c, F.lit(0)) != "a")).alias("cells"))
+    return cells.select("file", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 
 _PLAIN_TEXT = r"regexp_replace(coalesce(text, ''), '[\x00-\x1F;,|\"\x7F-\x9F]+', ' ', 'g')"

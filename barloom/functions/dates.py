@@ -9,6 +9,7 @@ from barloom.contracts import Q4_LAG_DAYS, QUARTER_LAG_DAYS
 from barloom.functions.numbers import bind
 
 ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
+PAIRS = r"^\d\d[/-]\d\d[/-]\d\d"
 SHORT = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
 
 
@@ -17,13 +18,17 @@ def _group(text: Column, pattern: str, index: int) -> Column:
 
 
 def order_votes(text: Column) -> Column:
-    """What one date text says about its file: a struct of three 0/1 votes."""
+    """What one date text says about its file: a struct of three 0/1 votes. Pairs of digits are compared as texts."""
     text = F.trim(text)
-    iso = text.rlike(ISO)
+    iso, pairs = text.rlike(ISO), text.rlike(PAIRS)
+
+    def beyond(place: int) -> Column:
+        return F.when(pairs, F.substring(text, 3 * place - 2, 2) > "12").otherwise(~iso & (_group(text, SHORT, place) > 12))
+
     return F.struct(
         F.coalesce(iso, F.lit(False)).cast("int").alias("iso"),
-        F.coalesce(~iso & (_group(text, SHORT, 1) > 12), F.lit(False)).cast("int").alias("first"),
-        F.coalesce(~iso & (_group(text, SHORT, 2) > 12), F.lit(False)).cast("int").alias("second"),
+        F.coalesce(beyond(1), F.lit(False)).cast("int").alias("first"),
+        F.coalesce(beyond(2), F.lit(False)).cast("int").alias("second"),
     )
 
 

@@ -30,8 +30,8 @@ def finite(value: Column) -> Column:
 
 
 def suffix_scale(text: Column) -> Column:
-    scales = F.create_map(F.lit("K"), F.lit(1e3), F.lit("M"), F.lit(1e6), F.lit("B"), F.lit(1e9))
-    return F.try_element_at(scales, F.upper(F.substring(text, -1, 1)))
+    last = F.upper(F.substring(text, -1, 1))
+    return F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9)
 
 
 def decimal_point(text: Column) -> Column:
@@ -55,9 +55,9 @@ def _market(raw: Column) -> Column:
     number = lambda t: t.try_cast("double")
     return (
         F.when(raw.isNull(), F.lit(None).cast("double"))
-        .when(raw.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), number(raw))
-        .when(raw.rlike(r"^-?[0-9]+,(?:[0-9]{1,2}|[0-9]{4,})$"), number(F.translate(raw, ",", ".")))
-        .when(raw.rlike(r"^-?[0-9]+(?:\.[0-9]+)?[KMB]$"), number(F.translate(raw, "KMB", "")) * suffix_scale(raw))
+        .when(raw.rlike(r"^-?[0-9]++(?:\.[0-9]+|,(?:[0-9]{1,2}|[0-9]{4,}))?$"), number(F.replace(raw, F.lit(","), F.lit("."))))
+        .when(raw.rlike(r"^-?[0-9]++(?:\.[0-9]++)?[KMB]$"), number(F.left(raw, F.length(raw) - 1)) * suffix_scale(raw))
+        .when(~raw.rlike("[0-9]"), F.lit(None).cast("double"))
         .otherwise(_market_rules(raw))
     )
 

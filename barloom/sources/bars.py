@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barloom.functions.dates import order_from_votes, order_votes, parse_date
 from barloom.functions.numbers import parse_number
 from barloom.functions.text import normalize_header
-from barloom.operators.perfile import with_group
+from barloom.operators.perfile import leading, least_rows, with_group
 from barloom.session import written
 from barloom.sources.lines import parse_lines, split_cells  # noqa: F401
 
@@ -112,8 +112,9 @@ def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def file_headers(raw: DataFrame) -> DataFrame:
     """Per file: header ordinal, kind, cell positions of every target column and what is missing."""
-    heads = raw.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), F.min_by("cells", "ordinal").alias("header")
+    files = raw.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(leading(raw)).alias("least"))
+    heads = least_rows(raw, files).groupBy("file").agg(
+        F.max("n").alias("n"), F.min("ordinal").alias("first"), F.min_by("cells", "ordinal").alias("header")
     )
     lookup = alias_map()
     heads = heads.withColumn("keys", F.transform("header", lambda h: normalize_header(h))).withColumn(
@@ -141,23 +142,28 @@ def file_headers(raw: DataFrame) -> DataFrame:
         return F.array_except(F.array(*[F.lit(n) for n in required]), "names")
 
     missing = F.when(F.col("kind") == "stock", lacking(STOCK_REQUIRED)).otherwise(lacking(INDEX_REQUIRED))
+    # every data row meets these: the first two positions of a target, and all of them only where a target has more
     return heads.withColumns({
         "missing_required_columns": F.array_join(missing, ", "),
-        "plain": F.forall("at", lambda at: F.size(at) <= 1),
-    }).drop("names")
+        "one": F.transform("at", lambda at: F.get(at, F.lit(0))),
+        "two": F.transform("at", lambda at: F.get(at, F.lit(1))),
+        "more": F.when(F.exists("at", lambda at: F.size(at) > 2), F.col("at")),
+    }).drop("names", "at")
 
 
 def text_columns(raw: DataFrame, headers: DataFrame) -> DataFrame:
     """Data rows with ``texts``, one entry per target column: the first non-null of the cells that
     map to it, left to right."""
     rows = with_group(raw, headers, "file", "ordinal").where(F.col("ordinal") > F.col("first"))
-    several = F.transform(
-        "at",
-        lambda at: F.get(
-            F.filter(F.transform(at, lambda i: F.get("cells", i)), lambda t: t.isNotNull()), F.lit(0)
-        ),
-    )
-    texts = F.when(F.col("plain"), F.transform("at", lambda at: F.get("cells", F.get(at, F.lit(0))))).otherwise(several)
+
+    def several(at: Column) -> Column:
+        return F.get(F.filter(F.transform(at, lambda i: F.get("cells", i)), lambda t: t.isNotNull()), F.lit(0))
+
+    def text(i: int) -> Column:
+        one, two = (F.get("cells", F.get(at, F.lit(i))) for at in ("one", "two"))
+        return F.when(F.col("more").isNull(), F.coalesce(one, two)).otherwise(several(F.get("more", F.lit(i))))
+
+    texts = F.array(*[text(i) for i in range(len(STOCK_COLUMNS))])
     return rows.select("file", "ordinal", "kind", "missing_required_columns", texts.alias("texts"))
 
 
@@ -208,9 +214,9 @@ def daily_unique(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 def clean_bars(typed: DataFrame) -> DataFrame:
     """Complete rows, one per file and date, the last one winning. Completeness is asked inside the aggregate: a filter
-    would be pushed below the parsing and repeat it."""
+    would be pushed below the parsing and repeat it. Dates lead the keys because names may begin alike, which makes them slow to sort."""
     rest = [c for c in typed.columns if c not in ("file", "Date")]
-    last = typed.groupBy("file", "Date").agg(F.max_by(F.struct(*rest), F.when(has_core(), F.col("ordinal"))).alias("row"))
+    last = typed.groupBy("Date", "file").agg(F.max_by(F.struct(*rest), F.when(has_core(), F.col("ordinal"))).alias("row"))
     return last.where("row IS NOT NULL").select("file", "Date", "row.*")
 
 
@@ -255,7 +261,7 @@ def file_audit(raw: DataFrame) -> DataFrame:
     headers, typed = typed_table(raw)
     typed = typed.withColumn("core", has_core())
     bar = F.struct("High", "Low", "Open", "Close")
-    days = typed.groupBy("file", "Date").agg(
+    days = typed.groupBy("Date", "file").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("core").cast("int")).alias("n_core"),
         F.max("date_order").alias("date_order"),

@@ -56,6 +56,24 @@ def test_file_audit(spark, folder):
     assert audit["vn-index_daily.csv"].dropped_missing_core_rows == 1
 
 
+def test_headers_sort_only_rows_that_may_lead(spark, monkeypatch):
+    body = [(f, (k, i), ["2026-06-16", "1", str(k)]) for f in ("a.csv", "b.csv") for k in range(1, 50) for i in range(4)]
+    rows = body + [("a.csv", (0, 3), ["Date", "Open", "High"]), ("a.csv", (0, 4), ["x", "y", "z"]), ("b.csv", (0, 0), ["Date", "Open", "Low"]), (None, (None, 5), ["Date"])]
+    raw = spark.createDataFrame(rows, "file string, ordinal struct<block:bigint,line:int>, cells array<string>")
+    sorted_rows, least = [], market.least_rows
+    monkeypatch.setattr(market, "least_rows", lambda *a, **k: [sorted_rows.append(least(*a, **k)), sorted_rows[-1]][1])
+    heads = {r["file"]: r for r in market.file_headers(raw).collect()}
+    assert (heads["a.csv"].n, tuple(heads["a.csv"]["first"]), heads["b.csv"].n) == (198, (0, 3), 197)
+    assert (heads["a.csv"].one[:4], heads["b.csv"].one[:4]) == ([0, 1, 2, None], [0, 1, None, 2])
+    assert heads[None].n == 1 and sorted_rows[0].count() == 4
+
+
+def test_a_target_of_three_columns_takes_the_first_text(spark, tmp_path):
+    (tmp_path / "T.csv").write_text("Date,Open,High,Low,Last,Close,Price,KL\n2026-06-16,1,3,1,,,2,5\n2026-06-17,1,3,1,,2.5,2,5\n", encoding="utf-8")
+    clean = market.standardize(market.read_market_csv(spark, str(tmp_path)))
+    assert sorted(r.Close for r in clean.collect()) == [2.0, 2.5]
+
+
 def test_loader(spark):
     df = spark.createDataFrame([("2026-06-16", "1,000", "5K", "x"), ("bad", "1", "1", "1")],
                                "Date string, Close string, Volume string, Net_Volume_Foreign string")
