@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import BARS, bars, cents, query, table, trades
 from barloom.functions.dates import parse_date
 from barloom.functions.numbers import is_close, parse_number, safe_float, strict_bool, value_matches
 from barloom.functions.text import clean_account_name, normalize_header, normalize_text
-from barloom.session import written
+from barloom.session import packed, written
 from barloom.sources import bars as market
 from barloom.sources import vendor
 
@@ -280,25 +281,32 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def raw_csv_scan(spark, sf_dir):
     """Quoted cells with separators, doubled quotes and line breaks, a file per ticker, its blocks cut anywhere."""
-    third = (F.col("l_quantity") % 3).cast("int")
-    separator = F.when(F.substring("ticker", 7, 9).cast("int") % 2 == 0, ";").otherwise(",")
+    separator = F.when(F.substring("file", 7, 9).cast("int") % 2 == 0, ";").otherwise(",")
+    third = F.col("third")
     cell = (
         F.when(third == 0, F.concat(F.lit('"note ""'), "l_returnflag", F.lit('"",\n\nnext '), "l_linestatus", F.lit('"')))
         .when(third == 1, F.lit('"ends\n"'))
         .otherwise(F.concat(cents().cast("string"), F.lit('" wide')))
     )
     text = F.concat(F.concat_ws(":", "l_orderkey", "l_linenumber"), separator, cell, separator, "l_returnflag")
-    rows = trades(spark, sf_dir).withColumns({"file": F.col("ticker"), "block": F.floor(F.col("l_orderkey") / 1000) * 2})
-    # the last record of a block lies in two, if it has several lines
-    lasts = rows.groupBy("file", "block").agg(F.max(F.struct(*KEY)).alias("last"))
-    body = _text_lines(rows.join(lasts, ["file", "block"]), text, [F.col(k) for k in KEY], F.struct(*KEY) == F.col("last"))
-    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct()
-    types = dict(trades(spark, sf_dir).dtypes)
-    heads = files.select(
-        F.col("ticker").alias("file"), F.lit(-1).cast("bigint").alias("block"), separator.alias("sep"),
-        *[F.lit(0).cast(types[k]).alias(k) for k in KEY])
-    head = _text_lines(heads, F.concat(F.lit("a"), "sep", F.lit('"b\n(text)"'), "sep", F.lit("c")), [F.col(k) for k in KEY])
-    cells = market.parse_lines(written(body.unionByName(head), "lines"))
+    rows = trades(spark, sf_dir).select(
+        F.col("ticker").alias("file"), *KEY, (F.col("l_quantity") % 3).cast("int").alias("third"), "l_returnflag", "l_linestatus",
+        (F.floor(F.col("l_orderkey") / 1000) * 2).alias("block"),
+    ).where("file is not null and block is not null")
+    rows = packed(rows, "rows", ["l_partkey"], table(spark, sf_dir, "lineitem").count())
+    in_order = Window.partitionBy("block", "file").orderBy(*KEY)
+
+    def body(rows):
+        rows = rows.withColumn("nth", F.dense_rank().over(in_order))
+        # the last record of a block lies in two, if it has several lines
+        last = F.max("nth").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return _text_lines(rows.withColumn("last", last), text, [F.col("nth")], F.col("nth") == F.col("last"))
+
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file")).distinct()
+    heads = files.select("file", F.lit(-1).cast("bigint").alias("block"), separator.alias("sep"), F.lit(0).alias("nth"))
+    head = _text_lines(heads, F.concat(F.lit("a"), "sep", F.lit('"b\n(text)"'), "sep", F.lit("c")), [F.col("nth")])
+    lines = packed(rows, "lines", ["block", "file"], rows.count(), body).unionByName(written(head, "heads"))
+    cells = market.parse_lines(lines)
     # as a generator: a filter would be pushed below the cutting and repeat it
     cells = cells.select("file", F.explode(F.filter(F.array("cells"), lambda c: F.get(c, F.lit(0)) != "a")).alias("cells"))
     return cells.select("file", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate("abc")])

@@ -26,12 +26,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.perfile import SMALL, least_rows, with_group
-from barloom.session import written
+from barloom.session import packed, written
 
 # fixed values
 SEPARATORS = [",", ";", "\t", "|"]
 PAGES = ["utf-8", "cp1258", "cp1252", "latin-1"]
 BOM = "﻿"
+#: lines of a record that are joined without a shuffle
+AT_ONCE = 16
+#: what a piece tells beside a line's columns
+STATES = ("whole", "starts_out", "starts_in", "after_out", "after_in", "ends")
 
 #: inside of a quoted cell; loops instead of alternatives, which would recurse in Java
 QUOTED = '[^"]*+(?:""[^"]*+)*+'
@@ -111,7 +115,7 @@ def split_cells(text: Column, separator: str) -> Column:
     def cell(match):
         plain = F.substr(match, F.lit(2))
         quoted = F.regexp_extract(plain, f'^"({QUOTED})"', 1)
-        return F.when(plain.rlike(f'^"{QUOTED}"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain)
+        return F.when(F.startswith(plain, F.lit('"')) & plain.rlike(f'^"{QUOTED}"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(plain)
 
     any_quote = F.contains(text, F.lit('"'))
     cut = F.when(any_quote, F.transform(found, cell)).otherwise(F.split(text, s))
@@ -150,83 +154,124 @@ def file_profile(lines: DataFrame, small: int = SMALL) -> DataFrame:
     return files.select("file", "n", "page", "spans", (-F.array_max(counts)["i"]).alias("sep"))
 
 
-def marked(df: DataFrame, keys: list[str], order: str, sets: Column, value: Column, swap: Column) -> DataFrame:
-    """With ``swaps``, the swaps up to a row, and ``last``, the value that the last function up to it sets and the swaps up to
-    there, null where none sets the state."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("swaps", F.sum(swap.cast("int")).over(window))
-    mark = F.when(sets, F.struct(value.alias("value"), F.col("swaps")))
-    return df.withColumn("last", F.last(mark, ignorenulls=True).over(window))
+def odd(n: Column) -> Column:
+    return F.pmod(n, F.lit(2)) == 1
 
 
-def state_after(start: Column, last: Column, swaps: Column) -> Column:
-    """Inside a quoted cell or not, after functions that were composed to (last, swaps), from ``start``."""
-    odd = lambda n: F.pmod(n, F.lit(2)) == 1
-    return F.when(last.isNull(), start != odd(swaps)).otherwise(last["value"] != odd(swaps - last["swaps"]))
+def mark(sets: Column, value: Column, swaps: Column) -> Column:
+    """What a function that sets the state leaves to those after it, where ``swaps`` swaps were made up to it; null for the others."""
+    return F.when(sets, value != odd(swaps))
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Lines (file, ordinal, text, sep, ...) with ``record``, the number of the record in its file, and ``part``: null, but in files that
-    end inside a quoted cell the block, inside which each line is a record of its own.
+def state_after(start: bool, last: Column, swaps: Column) -> Column:
+    """Inside a quoted cell or not, after functions with the last ``mark`` and ``swaps`` in all, from ``start``."""
+    return F.coalesce(last, F.lit(start)) != odd(swaps)
 
-    A block is gone through once, for both states it may start in; its last line then tells what it does as a whole."""
+
+def pieces(lines: DataFrame) -> DataFrame:
+    """Lines (file, ordinal, text, sep, ...) to ``whole`` records under the ordinal of their first line, where their block alone tells
+    their bounds and they have at most ``AT_ONCE`` lines. The others stay lines, or ``AT_ONCE`` lines of a record.
+
+    A block is gone through once, for both states it may start in: before its first line it is outside of a quoted cell (``_out``) or
+    inside one (``_in``). Where a line begins a record from either start, the start no longer matters. With ``starts_*``, the number of
+    records that began in the block up to the row, ``after_*``, the state after it, and ``ends``, whether it is its block's last."""
     quote = F.contains("text", F.lit('"'))
-    told = lines.withColumns({
-        "f_out": F.when(quote, by_separator(F.col("sep"), lambda s: opens(F.col("text"), s))).otherwise(False),
-        "f_in": F.when(quote, by_separator(F.col("sep"), lambda s: stays_open(F.col("text"), s))).otherwise(True),
-        "block": F.col("ordinal.block"), "line": F.col("ordinal.line"),
-    })
+    rest = [c for c in lines.columns if c not in ("file", "ordinal", "text")]
+    told = lines.select(
+        "file", F.col("ordinal.block"), F.col("ordinal.line"), "text", *rest,
+        F.when(quote, by_separator(F.col("sep"), lambda s: opens(F.col("text"), s))).otherwise(False).alias("f_out"),
+        F.when(quote, by_separator(F.col("sep"), lambda s: stays_open(F.col("text"), s))).otherwise(True).alias("f_in"),
+    )
     sets, swap = F.col("f_out") == F.col("f_in"), (F.col("f_out") & ~F.col("f_in")).cast("int")
-    by_line = Window.partitionBy("file", "block").orderBy("line")
+    # blocks lead the sort keys: names may begin alike, which makes them slow to sort
+    by_line = Window.partitionBy("block", "file").orderBy("line")
     above = by_line.rowsBetween(Window.unboundedPreceding, -1)
     told = told.select(
         "*", F.coalesce(F.sum(swap).over(above), F.lit(0)).alias("swaps"), F.row_number().over(by_line).alias("nth"),
         F.lead(F.lit(1)).over(by_line).isNull().alias("ends"),
     )
-    mark = F.when(sets, F.struct(F.col("f_out").alias("value"), (F.col("swaps") + swap).alias("swaps")))
-    told = told.withColumn("last", F.last(mark, ignorenulls=True).over(above))
+    told = told.withColumn("last", F.last(mark(sets, F.col("f_out"), F.col("swaps") + swap), ignorenulls=True).over(above))
     # the state before a line and after it, if the block starts outside, or inside a quoted cell
-    inside = {name: state_after(F.lit(start), F.col("last"), F.col("swaps")) for name, start in (("out", False), ("in", True))}
-    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    inside = {name: state_after(start, F.col("last"), F.col("swaps")) for name, start in (("out", False), ("in", True))}
     told = told.select(
-        *lines.columns, "block", "nth", "ends",
+        "file", "block", "line", "text", *rest, "nth", "ends",
+        *[(~before).alias(f"begins_{name}") for name, before in inside.items()],
         *[F.when(before, F.col("f_in")).otherwise(F.col("f_out")).alias(f"after_{name}") for name, before in inside.items()],
-        *[F.sum((~before).cast("long")).over(so_far).alias(f"starts_{name}") for name, before in inside.items()],
     )
-    told = written(told, "marked-lines")
-    # over the blocks of a file, a row each: a block that does not set the state keeps or swaps it
+    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("begins_out") & F.col("begins_in")
+    told = told.select(
+        "*", *[F.sum(F.col(f"begins_{name}").cast("long")).over(so_far).alias(f"starts_{name}") for name in inside],
+        F.max(F.when(begins, F.col("nth"))).over(so_far).alias("first"),
+    )
+    # a window hands each row what it gathers, hence the bound; the first line's row is kept
+    head = F.col("nth") - F.pmod(F.col("nth") - F.col("first"), F.lit(AT_ONCE))
+    told = told.withColumn("head", F.coalesce(head, F.col("nth")))
+    piece = Window.partitionBy("block", "file", "head").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = told.select(
+        "file", "block", "line", F.collect_list("text").over(piece).alias("texts"), *rest, "nth", "head", "first", "starts_out", "starts_in",
+        # each line of a record but the last leaves a cell open
+        *[F.bool_and(f"after_{name}").over(piece).alias(f"after_{name}") for name in inside], F.bool_or("ends").over(piece).alias("ends"),
+    ).where("nth = head")
+    return told.select(
+        "file", "block", "line", F.when(F.size("texts") > 0, F.array_join("texts", "\n")).alias("text"), *rest,
+        (F.col("first").eqNullSafe(F.col("head")) & ~F.col("after_out")).alias("whole"), *STATES[1:],
+    )
+
+
+def block_states(told: DataFrame) -> DataFrame:
+    """(file, block, start, unclosed, before) of ``pieces``: whether the block starts inside a quoted cell, whether its file ends inside one,
+    and the number of records that began before it. A row per block goes through the file."""
     blocks = told.where("ends").select("file", "block", "after_out", "after_in", "starts_out", "starts_in")
+    # a block that does not set the state keeps or swaps it
     sets, swap = F.col("after_out") == F.col("after_in"), F.col("after_out") & ~F.col("after_in")
-    blocks = marked(blocks, ["file"], "block", sets, F.col("after_out"), swap)
-    blocks = blocks.withColumn("after", state_after(F.lit(False), F.col("last"), F.col("swaps")))
-    file_so_far = Window.partitionBy("file").orderBy("block")
-    whole_file = file_so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.withColumn("start", F.lag("after", 1, False).over(file_so_far)).withColumn("unclosed", F.last("after").over(whole_file))
+    by_block = Window.partitionBy("file").orderBy("block")
+    so_far = by_block.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("swaps", F.sum(swap.cast("int")).over(so_far))
+    blocks = blocks.withColumn("last", F.last(mark(sets, F.col("after_out"), F.col("swaps")), ignorenulls=True).over(so_far))
+    blocks = blocks.withColumn("after", state_after(False, F.col("last"), F.col("swaps")))
+    whole_file = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.withColumn("start", F.lag("after", 1, False).over(by_block)).withColumn("unclosed", F.last("after").over(whole_file))
     held = F.when(F.col("start"), F.col("starts_in")).otherwise(F.col("starts_out"))
-    before = F.sum(held).over(file_so_far.rowsBetween(Window.unboundedPreceding, 0)) - held
-    blocks = blocks.select("file", "block", "start", "unclosed", before.alias("before"))
-    starts = F.when(F.col("start"), F.col("starts_in")).otherwise(F.col("starts_out"))
-    return told.join(written(blocks, "blocks"), ["file", "block"]).select(
-        *lines.columns, F.when(F.col("unclosed"), F.col("block")).alias("part"),
-        F.when(F.col("unclosed"), F.col("nth")).otherwise(F.col("before") + starts).alias("record"),
-    )
+    before = F.sum(held).over(so_far) - held
+    return blocks.select("file", "block", "start", "unclosed", before.alias("before"))
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Lines of files with quoted cells over several lines to records, under the ordinal of their first line."""
-    rest = [c for c in lines.columns if c not in ("file", "ordinal", "text")]
-    joined = numbered(lines).groupBy("file", "part", "record").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("parts"), *[F.first(c).alias(c) for c in rest],
-    ).withColumns({"ordinal": F.get("parts", F.lit(0))["ordinal"], "text": F.array_join(F.col("parts.text"), "\n")})
-    return joined.select(*lines.columns)
+def records(told: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``pieces`` that are not whole to records, under the ordinal of their first line."""
+    rest = [c for c in told.columns if c not in ("file", "block", "line", "text", *STATES)]
+    starts = F.when(F.col("start"), F.col("starts_in")).otherwise(F.col("starts_out"))
+    grouped = told.join(blocks, ["file", "block"]).groupBy("file", (F.col("before") + starts).alias("record")).agg(
+        F.sort_array(F.collect_list(F.struct("block", "line", "text"))).alias("parts"), *[F.first(c).alias(c) for c in rest])
+    first = F.get("parts", F.lit(0))
+    return grouped.select(
+        "file", first["block"].alias("block"), first["line"].alias("line"), F.array_join(F.col("parts.text"), "\n").alias("text"), *rest)
 
 
 def parse_lines(lines: DataFrame, small: int = SMALL) -> DataFrame:
-    """(file, ordinal, modified, cells) from lines (file, ordinal, text, modified). ``small``: files whose profiles are broadcast."""
+    """(file, ordinal, modified, cells) from lines (file, ordinal, text, modified). ``small``: files whose profiles are broadcast.
+
+    Most records lie in one block and are told by it alone; only the others, at the blocks' borders, meet what the blocks before
+    theirs do, so that texts are shuffled once, by block."""
     profile = written(file_profile(lines, small), "files")
-    told = with_group(lines, profile, "file", "ordinal", small=small)
-    text = decoded(F.col("text"), F.col("page"))
-    told = told.withColumn("text", F.when(F.startswith(text, F.lit(BOM)), F.substring(text, 2, 2**31 - 1)).otherwise(text)).drop("page")
-    spanning = records(told.where("spans").drop("spans"))
-    cut = told.where("not spans").drop("spans").unionByName(spanning).where(F.trim("text") != "")
-    return cut.select("file", "ordinal", "modified", by_separator(F.col("sep"), lambda s: split_cells(F.col("text"), s)).alias("cells"))
+
+    def of_files(files: DataFrame) -> DataFrame:
+        told = with_group(lines, files, "file", "ordinal", small=small)
+        text = decoded(F.col("text"), F.col("page"))
+        return told.withColumn("text", F.when(F.startswith(text, F.lit(BOM)), F.substring(text, 2, 2**31 - 1)).otherwise(text)).drop("page")
+
+    spanning = profile.where("spans")
+    told = packed(
+        of_files(spanning).drop("spans"), "pieces", ["file", "ordinal.block"], spanning.agg(F.sum("n")).first()[0] or 0, pieces)
+    blocks = written(block_states(told), "blocks")
+    files = profile.join(blocks.where("unclosed").select("file", "unclosed").distinct(), "file", "left")
+    files = files.withColumn("by_line", ~F.col("spans") | F.coalesce("unclosed", F.lit(False))).drop("unclosed")
+    files = written(files, "files-told")
+    by_line = of_files(files.where("by_line").drop("by_line")).select("*", "ordinal.block", "ordinal.line").drop("ordinal")
+    # where cells may span lines, a null block is none that a line could lie in
+    by_line = by_line.where("not spans or block is not null").drop("spans")
+    in_block = with_group(told.where("block is not null"), files.where("not by_line").select("file", "n"), "file", "line", small=small)
+    cut = by_line.unionByName(in_block.where("whole").select(*by_line.columns)).unionByName(records(in_block.where("not whole"), blocks))
+    return cut.where(F.trim("text") != "").select(
+        "file", F.struct("block", "line").alias("ordinal"), "modified",
+        by_separator(F.col("sep"), lambda s: split_cells(F.col("text"), s)).alias("cells"))

@@ -254,6 +254,64 @@ def test_records_over_many_lines_and_blocks_equal_a_local_parser(spark):
             assert got[f"f{k}"] == local(files[f"f{k}"], [",", ";", "\t", "|"][k % 4])
 
 
+def test_only_lines_at_block_borders_are_grouped_over_blocks(spark, monkeypatch):
+    from barloom.sources import lines as module
+
+    grouped, records, packed = [], module.records, module.packed
+    monkeypatch.setattr(module, "packed", lambda *a: packed(*a, at_once=100))
+    monkeypatch.setattr(module, "records", lambda told, *a: [grouped.append(told.cache()), records(grouped[-1], *a)][1])
+    text = "a,b\n" + "".join(f'{k},"x{k}\n\ny, ""z"""\n' for k in range(300))
+    got = cut(spark, {"f": text}, size=1000)["f"]
+    assert got == local(text) and len(got) == 301
+    n_blocks = len(text) // 1000 + 1
+    # a block's first lines, up to one that tells the state from either start, and its last record
+    assert 0 < grouped[0].count() <= 4 * n_blocks
+    long = "a,b\n" + "plain,line\n" * 50 + '1,"open ' + "\n".join(f"l{k},m" for k in range(200)) + '"\n2,3\n'
+    for size in (100, 100_000):  # a record over many blocks without a quote, or of more lines than are joined at once
+        assert cut(spark, {"f": long}, size)["f"] == local(long)
+    assert module.AT_ONCE < 200 and grouped[-1].count() > 1
+
+
+def test_lines_without_a_block(spark):
+    from barloom.sources.lines import parse_lines
+
+    def parsed(*texts):
+        lines = spark.createDataFrame(
+            [("f", (None if t == "x,y" else 1, n), t, None) for n, t in enumerate(texts)],
+            "file string, ordinal struct<block:bigint,line:bigint>, text string, modified timestamp")
+        return [r["cells"] for r in parse_lines(lines).orderBy("ordinal").collect()]
+
+    assert parsed("a,b", "x,y") == [["x", "y"], ["a", "b"]]
+    assert parsed("a,b", "x,y", '1,"p', 'q"') == [["a", "b"], ["1", "p\nq"]]
+    assert parsed("a,b", "x,y", '1,"p') == [["a", "b"], ["1", '"p']]
+
+
+def test_packed_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from barloom.session import packed, shuffles_dropped
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for d in manager.localDirs() for p in pathlib.Path(d.getPath()).glob("*/shuffle_*.data")}
+    before = files()
+    rounds = []
+    count = lambda part: [rounds.append(part), part.groupBy("k").count()][1]
+    rows = spark.range(1000).select(F.nullif(F.col("id") % 7, F.lit(3)).alias("k"))
+    table = packed(rows, "counts", ["k"], 1000, count, at_once=400)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert len(rounds) == 3 and sum(part.count() for part in rounds) == 1000
+    assert sum(r["count"] for r in table.collect()) == 1000 and table.count() == 7  # no group is in two rounds
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+        1 / 0
+    assert spark.conf.get(key) == was
+
+
 def test_quotes_that_open_nothing(spark):
     files = {
         "inch": 'a,b\n5" pipe,"open, not closed\nx,y\n',  # the file ends inside a cell: lines are records
